@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, url_filter
+from . import chat, mixing, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_simhash": simhash.op8_simhash,
         "op10_mixing": mixing.op10_mixing,
     }
 
