@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, simhash, url_filter
+from . import chat, decontaminate, mixing, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_chat_format": chat.op7_chat_format,
         "op8_simhash": simhash.op8_simhash,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_mixing": mixing.op10_mixing,
     }
 
