@@ -61,12 +61,13 @@ def source_targets(totals: DataFrame, weights: Sequence[float], max_epochs: floa
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 7, with_hash: bool = False) -> DataFrame:
     """docs: doc_id, text, source, any more. Returns doc_id, source, size, source_size, target, taken and the others but text."""
     packed = pack(docs, "doc_id", "text", "source")
     text = F.col("text")
     base = packed.select(
         *(c for c in ("doc_id", "source", EXTRA) if c in packed.columns),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         unit_interval(F.lit(seed), "doc_id", text).alias("_u"),
         quality_weight(text).alias("_q"),
@@ -94,7 +95,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float =
     split = joined.where(crossing).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - ahead)))
     taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
     both = settled.unionByName(split).withColumn("taken", taken)
-    return unpack(both, "doc_id", "source", "size", "source_size", "target", "taken")
+    return unpack(both, "doc_id", "source", "size", "source_size", "target", "taken", *["_hash"] * with_hash)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of which the mix takes any words, all columns, with size, source_size, target, taken. Rows that are equal in doc_id and text may be
+    taken differently; they are paired with the mix's rows by number."""
+    results = ("size", "source_size", "target", "taken")
+    mixed = mix(docs.select("doc_id", "text", "source"), with_hash=True).drop("source").withColumnsRenamed({"doc_id": "_id"})
+    mixed = mixed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.desc("taken"))))
+    packed = pack(docs, "doc_id", "text").withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed = packed.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")) & (F.col("_k") == F.col("_n"))
+    kept = packed.join(mixed.where("taken > 0"), same)
+    others = [c for c in docs.columns if c not in results]
+    return unpack(kept, "doc_id", "text", *results).select(*others, *results)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
