@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, simhash, suffix, url_filter
+from . import chat, decontaminate, language, mixing, quality, simhash, suffix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
+        "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_chat_format": chat.op7_chat_format,
