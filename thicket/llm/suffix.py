@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte that a repeated string of `SPAN` = 400 bytes covers.
 
-Sorting all suffixes of a corpus would move many times its size. Two exact reductions come first:
+Sorting all suffixes of a corpus would move many times its size. Exact reductions come first:
 
 1. Anchors. A span's anchor is the start of the `GRAM`-byte string inside it with the least rolling hash (leftmost if equal): it depends on
    the span's bytes alone, so equal spans have equal anchors. Consecutive spans with one anchor form a run, of `SPAN - GRAM + 1` spans at most
@@ -8,6 +8,8 @@ Sorting all suffixes of a corpus would move many times its size. Two exact reduc
 2. Classes. Runs with equal bytes (anchor gram and the whole run's hash, 128 bits together) are one class. All spans of a class with two
    runs or more are repeated. A run with an anchor gram of its own has no repeated span. Only where classes share an anchor gram their
    spans remain in doubt, and one run of each class speaks for it.
+3. The same again with the runs in doubt cut into blocks of up to `BLOCK` spans, by distance from the anchor; the bytes that all spans of a
+   block share take the anchor gram's place.
 
 The suffixes that begin the spans in doubt are then sorted: a suffix is a string of `TOKENS` tokens, hashes of `SPAN / TOKENS` bytes each. Sampled splitters
 range-partition the suffixes by leading tokens (ties are dealt out further by position, so that a suffix that is everywhere fills several buckets); each bucket sorts
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pack, partitions, table, unpack
+from .common import pack, partitions, stash, table, unpack
 
 SPAN = 400
 GRAM = 200
 TOKENS = 4
+BLOCK = 16
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 20
 #: Bits of the bitmap that keeps documents or runs without a partner from being shuffled. It is full at some billion keys, and then lets all through.
@@ -165,35 +168,69 @@ def _run_finder(wanted=None):
             for data, owner, ends, offset in _segments(batch.column("text").cast(pa.large_binary())):
                 hashes, start, n, anchor = find_runs(data, ends)
                 gram = hashes.of(anchor, GRAM).view(np.int64)
-                same = hashes.of(start, n - 1 + SPAN) + n.astype(np.uint64) * _M
-                same = _mix(same).view(np.int64)
                 if wanted is not None:
-                    keep = _probe(same, wanted.value)
-                    start, n, gram, same = start[keep], n[keep], gram[keep], same[keep]
+                    keep = _probe(gram, wanted.value)
+                    start, n, gram, anchor = start[keep], n[keep], gram[keep], anchor[keep]
+                same = _mix(hashes.of(start, n - 1 + SPAN) + n.astype(np.uint64) * _M).view(np.int64)
                 part = np.searchsorted(ends, start, "right") - 1
-                yield _batch(batch, owner[part], ["text"], {"start": start - ends[part] + offset[part], "n": n.astype(np.int32), "gram": gram, "same": same})
+                yield _batch(batch, owner[part], ["text"], {"start": start - ends[part] + offset[part], "n": n.astype(np.int32), "ahead": (anchor - start).astype(np.int32), "gram": gram, "same": same})
 
     return find
 
 
-def _suffix_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, runs (array of start, n) -> a row for each span of the runs: where it starts, and its tokens, two in a long."""
-    size = SPAN // TOKENS
+def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
+    """The runs of one text, cut into blocks, for a stretch of the text at a time: hashes of the stretch, its offset, and for each block its first span
+    in the stretch, number of spans, id, hash of the bytes its spans share, hash of all its bytes."""
+    runs = sorted((r["start"], r["n"], r["ahead"]) for r in runs)
+    at = 0
+    while at < len(runs):
+        low, k = runs[at][0], at
+        while k < len(runs) and runs[k][0] + runs[k][1] + SPAN - low <= SEGMENT:
+            k += 1
+        start, n, ahead = (np.array(x, np.int64) for x in zip(*runs[at:k]))
+        of = np.repeat(np.arange(len(n)), n)
+        spans = np.arange(n.sum()) - np.r_[0, np.cumsum(n)[:-1]][of] + (start - low)[of]
+        distance = (start - low + ahead)[of] - spans
+        index = distance // BLOCK
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (index[1:] != index[:-1])])
+        size, begin = np.diff(np.r_[first, len(spans)]), spans[first]
+        hashes = Hashes(raw[low : low + int((start + n - low).max()) - 1 + SPAN])
+        shared = hashes.of(begin + distance[first] - BLOCK * index[first], SPAN - BLOCK + 1) + index[first].astype(np.uint64)
+        full = hashes.of(begin, size - 1 + SPAN) + (size * 1000 + distance[first]).astype(np.uint64) * _M
+        ids = _mix((begin + low).astype(np.uint64) * _M + np.int64(key).view(np.uint64))
+        yield hashes, low, begin, size, ids.view(np.int64), _mix(shared).view(np.int64), _mix(full).view(np.int64)
+        at = k
+
+
+def _texts_with_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
+    for row in range(batch.num_rows):
+        raw = np.frombuffer(batch.column("text")[row].cast(pa.large_binary()).as_buffer(), np.uint8)
+        for found in _blocks(raw, batch.column("runs")[row].as_py(), batch.column("key")[row].as_py()):
+            yield row, found
+
+
+def _block_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, text, runs -> a row for each block of the runs."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            raw = np.frombuffer(batch.column("text")[row].cast(pa.large_binary()).as_buffer(), np.uint8)
-            runs = sorted((r["start"], r["n"]) for r in batch.column("runs")[row].as_py())
-            at = 0
-            while at < len(runs):
-                low, k = runs[at][0], at
-                while k < len(runs) and runs[k][0] + runs[k][1] + SPAN - low <= SEGMENT:
-                    k += 1
-                spans = np.concatenate([np.arange(s, s + n) for s, n in runs[at:k]]) - low
-                hashes = Hashes(raw[low : low + int(spans[-1]) + SPAN])
-                tokens = [hashes.of(spans + j * size, size) >> np.uint64(32) for j in range(TOKENS)]
+        for row, (_, low, begin, size, ids, shared, full) in _texts_with_runs(batch):
+            yield _batch(batch, np.full(len(begin), row), ["text", "runs"], {"start": begin + low, "n": size.astype(np.int32), "ahead": np.zeros(len(begin), np.int32), "gram": shared, "same": full, "id": ids})
+
+
+def _suffix_maker(wanted):
+    """doc_id, key, text, runs -> a row for each span of the wanted blocks: where it starts, and its tokens, two in a long."""
+    width = SPAN // TOKENS
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (hashes, low, begin, size, ids, _, _) in _texts_with_runs(batch):
+                keep = _probe(ids, wanted.value)
+                begin, size = begin[keep], size[keep]
+                spans = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+                tokens = [hashes.of(spans + j * width, width) >> np.uint64(32) for j in range(TOKENS)]
                 packed = [((tokens[j] << np.uint64(32)) | tokens[j + 1]).view(np.int64) for j in range(0, TOKENS, 2)]
                 yield _batch(batch, np.full(len(spans), row), ["text", "runs"], {"at": spans + low, **{f"t{j}": p for j, p in enumerate(packed)}})
-                at = k
+
+    return make
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 1 << 12) -> np.ndarray:
@@ -239,7 +276,7 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     salt = F.xxhash64(F.lit(1), "doc_id", "key", "at")
     buckets = suffixes.withColumn("salt", salt).repartitionByRange(n, "t0", "t1", "salt").drop("salt")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema.fields)
-    found = cut(buckets.mapInArrow(_bucket_sorter, f"{kind}, edge int"))
+    found = stash(buckets.mapInArrow(_bucket_sorter, f"{kind}, edge int"))
     # each bucket's ends, two rows a bucket: the same suffix may end one bucket and begin the next
     ends = found.where("edge > 0")
     across = ends.groupBy("t0", "t1").agg(F.count_distinct("doc_id", "key", "at").alias("copies")).where("copies > 1")
@@ -247,28 +284,44 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     return found.where("edge = 0").unionByName(at_ends).select("doc_id", "key", "at").distinct()
 
 
+def _busy(units: DataFrame) -> DataFrame:
+    """g: the grams that more than one unit has; split: whether those units differ."""
+    grams = units.groupBy("gram").agg(F.count("*").alias("units"), F.min("same").alias("low"), F.max("same").alias("high"))
+    return grams.where("units > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("split"))
+
+
+def _settle(units: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """units: doc_id, key, start, n, gram, same, any more. Returns the bytes of units that another one equals (doc_id, key, a, b), and the units in
+    doubt: one of each class of equal units that shares its gram with another class."""
+    met = stash(units.join(busy, F.col("gram") == F.col("g")).drop("g"))
+    interval = ["doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).alias("b")]
+    mixed = met.where("split")
+    own = [c for c in units.columns if c not in ("gram", "same")]
+    classes = stash(mixed.groupBy("gram", "same").agg(F.count("*").alias("units"), F.min(F.struct(*own)).alias("first")))
+    twice = classes.where("units > 1").select(F.col("gram").alias("g"), F.col("same").alias("s"))
+    again = mixed.join(twice, (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s")))
+    return met.where(~F.col("split")).select(interval).unionByName(again.select(interval)), classes.select("first.*")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """docs: doc_id, key, text (no nulls in key and text). Intervals of bytes to remove: doc_id, key, a, b."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run_schema = f"doc_id {kind}, key long, start long, n int, gram long, same long"
-    runs = docs.mapInArrow(_run_finder(), run_schema)
-    classes = runs.groupBy("gram", "same").agg(F.count("*").alias("runs"), F.min(F.struct("doc_id", "key", "start", "n")).alias("first"))
-    grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("runs").alias("all")).where("all > 1").withColumnRenamed("gram", "g")
-    shared = cut(classes.join(grams, F.col("gram") == F.col("g")).select("gram", "same", "runs", "classes", "first"))
-
-    repeated = shared.where("runs > 1").select(F.col("gram").alias("g"), F.col("same").alias("s"))
-    seen = spark.sparkContext.broadcast(bitmap_of(repeated, "s"))
-    again = docs.mapInArrow(_run_finder(seen), run_schema)
-    whole = again.join(repeated, (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s"))).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).alias("b"))
-
-    doubt = shared.where("classes > 1").select("first.*").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    doubt = cut(doubt)
-    texts = look_up(docs, doubt, "inner")
-    token_schema = f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2))
-    suffixes = texts.select("doc_id", "key", "text", "runs").mapInArrow(_suffix_maker, token_schema)
+    schema = f"doc_id {kind}, key long, start long, n int, ahead int, gram long, same long"
+    busy = stash(_busy(docs.mapInArrow(_run_finder(), schema)))
+    # the second reading keeps only runs whose gram isn't alone, but for a few that the bitmap lets through
+    seen = spark.sparkContext.broadcast(bitmap_of(busy, "g"))
+    whole, doubt = _settle(docs.mapInArrow(_run_finder(seen), schema), busy)
+
+    runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "ahead")).alias("runs"))
+    texts = stash(look_up(docs, stash(runs), "inner").select("doc_id", "key", "text", "runs"))
+    blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
+    parts, doubt = _settle(blocks, _busy(blocks))
+
+    wanted = spark.sparkContext.broadcast(bitmap_of(doubt, "id"))
+    suffixes = texts.mapInArrow(_suffix_maker(wanted), f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2)))
     single = repeated_suffixes(suffixes).select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))
-    return whole.unionByName(single)
+    return whole.unionByName(parts).unionByName(single)
 
 
 def _may_hold(column: Column, shared) -> Column:
@@ -331,7 +384,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """docs: doc_id, text, any more. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, with_text: the text that is left, and the others."""
     packed = pack(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
     slim = packed.select("doc_id", "key", "text").where(F.octet_length("text") >= SPAN)
-    cuts = cut(covered(slim).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts")))
+    cuts = stash(covered(slim).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts")))
     joined = look_up(packed, cuts, "left")
     fields = {f.name: f.dataType.simpleString() for f in packed.schema.fields if f.name != "text"}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
