@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, language, mixing, quality, simhash, suffix, url_filter
+from . import chat, decontaminate, html_extract, language, mixing, paragraph_sketch, quality, simhash, suffix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": html_extract.op1_main_text,
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
+        "op3_paragraph_sketch": paragraph_sketch.op3_paragraph_sketch,
         "op4_language": language.op4_language,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
