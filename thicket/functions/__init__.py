@@ -1,0 +1 @@
+from . import text_ops  # noqa: F401
