@@ -38,7 +38,8 @@ def is_setup_tag(tag: Column) -> Column:
 
 
 def has_block(text: Column, tag: str) -> Column:
-    return text.rlike("(?i)" + _OPEN.format(tag))
+    """Whether there is such a block, opened and closed."""
+    return text.rlike("(?is)" + _OPEN.format(tag) + ".*?</" + tag + ">")
 
 
 def script_tags(text: Column) -> Column:
