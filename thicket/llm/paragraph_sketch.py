@@ -29,8 +29,8 @@ PIECE_WORDS = 12
 PIECES = rf"\S+(?:[ \t]+\S+){{0,{PIECE_WORDS - 1}}}"
 SMALL = 8
 #: Cells of a table on the later tries; digests in a part of the second one on average.
-LARGER = (16, 64)
-PART = 16
+LARGER = (8, 32, 128)
+PART = 8
 ROUNDS = 12
 MAX_RANGES = 2000
 
@@ -40,87 +40,94 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def _shift(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftrightunsigned", x, bits)
-
-
 def digests(text: Column) -> Column:
     """The set of a text's paragraph digests, as an array of longs."""
     pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def _place(digest: Column, k: Column, cells: int, seed: int) -> Column:
-    """The digest's cell in table k."""
+def _place(digest: Column, k: int, cells: int, seed: int) -> Column:
+    """The digest's cell in table k, numbered through all three tables."""
     source = F.xxhash64(digest, F.lit(seed)) if seed else digest
-    return _shift(source, k * 12 + 8).bitwiseAND(F.lit(cells - 1)).cast("int")
+    return (F.shiftrightunsigned(source, k * 12 + 8).bitwiseAND(F.lit(cells - 1)) + k * cells).cast("int")
 
 
-def sketch(keys: Column, cells: int, seed: int = 0) -> Column:
+def _entry(digest: Column, count: Column, cells: int, seed: int) -> Column:
+    """What goes into cells: the count (1 to insert, -1 to delete), digest, check hash, and its three cells."""
+    return F.struct(count.alias("n"), digest.alias("k"), F.xxhash64(digest).alias("h"), *(_place(digest, k, cells, seed).alias(f"g{k}") for k in range(3)))
+
+
+def _goes_to(entry: Column, i: Column) -> Column:
+    return (entry["g0"] == i) | (entry["g1"] == i) | (entry["g2"] == i)
+
+
+def _join(c: Column, q: Column, sign: int = 1) -> Column:
+    return F.struct((c["n"] + sign * q["n"]).alias("n"), c["k"].bitwiseXOR(q["k"]).alias("k"), c["h"].bitwiseXOR(q["h"]).alias("h"))
+
+
+def _sketch_of(entries: Column, cells: int) -> Column:
     """Array of 3 * cells structs (n, k, h)."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
-    def tally(own: Column) -> Column:
-        return F.aggregate(own, empty, lambda c, d: F.struct((c["n"] + 1).alias("n"), c["k"].bitwiseXOR(d).alias("k"), c["h"].bitwiseXOR(F.xxhash64(d)).alias("h")))
+    def cell(i: Column) -> Column:
+        return F.aggregate(entries, empty, lambda c, q: F.when(_goes_to(q, i), _join(c, q)).otherwise(c))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), cell)
 
-    def one_table(k: int) -> Column:
-        placed = F.transform(keys, lambda d: _place(d, F.lit(k), cells, seed))
-        return _let(placed, lambda at: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: tally(F.filter(keys, lambda d, i: F.get(at, i) == c))))
 
-    return F.concat(*(one_table(k) for k in range(3)))
+def sketch(keys: Column, cells: int, seed: int = 0) -> Column:
+    """Array of 3 * cells structs (n, k, h)."""
+    return _let(F.transform(keys, lambda d: _entry(d, F.lit(1), cells, seed)), lambda entries: _sketch_of(entries, cells))
 
 
 def difference(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda x, y: _join(x, F.struct((-y["n"]).alias("n"), y["k"].alias("k"), y["h"].alias("h"))))
+
+
+def signed_sketch(signed: Column, cells: int, seed: int) -> Column:
+    """The difference of two sketches made in one: digests of the first version are inserted, of the second deleted."""
+    return _let(F.transform(signed, lambda q: _entry(q["d"], q["n"], cells, seed)), lambda entries: _sketch_of(entries, cells))
 
 
 def peel(cells: Column, size: int, seed: int = 0) -> Column:
-    """Struct (ok, only_a, only_b): whether all was recovered, and how many digests each side has alone."""
+    """Struct (ok, a, b): whether all was recovered, and how many digests each side has alone."""
     start = F.struct(cells.alias("cells"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("done"))
 
     def take_out(state: Column, alone: Column) -> Column:
-        def emptied(cell: Column, i: Column) -> Column:
-            mine = F.filter(alone, lambda q: _place(q["k"], F.floor(i / size).cast("int"), size, seed) == i % size)
-            return F.aggregate(mine, cell, lambda c, q: F.struct((c["n"] - q["n"]).alias("n"), c["k"].bitwiseXOR(q["k"]).alias("k"), c["h"].bitwiseXOR(q["h"]).alias("h")))
-
         a = F.size(F.filter(alone, lambda q: q["n"] == 1))
-        return F.struct(
-            F.when(F.size(alone) > 0, F.transform(state["cells"], emptied)).otherwise(state["cells"]).alias("cells"),
-            (state["a"] + a).alias("a"),
-            (state["b"] + F.size(alone) - a).alias("b"),
-            (F.size(alone) == 0).alias("done"),
-        )
+        left = F.transform(state["cells"], lambda cell, i: F.aggregate(alone, cell, lambda c, q: F.when(_goes_to(q, i), _join(c, q, -1)).otherwise(c)))
+        return F.struct(F.when(F.size(alone) > 0, left).otherwise(state["cells"]).alias("cells"), (state["a"] + a).alias("a"), (state["b"] + F.size(alone) - a).alias("b"), (F.size(alone) == 0).alias("done"))
 
     def once(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"]))))
-        return F.when(state["done"], state).otherwise(_let(pure, lambda alone: take_out(state, alone)))
+        pure = F.array_distinct(F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == F.xxhash64(c["k"]))))
+        alone = F.transform(pure, lambda c: _entry(c["k"], c["n"], size, seed))
+        return F.when(state["done"], state).otherwise(_let(alone, lambda x: take_out(state, x)))
 
     left = lambda s: F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, once, lambda s: F.struct((~left(s)).alias("ok"), s["a"].alias("a"), s["b"].alias("b")))
 
 
-def _try_part(a: Column, b: Column, tries: tuple[int, ...], seed: int = 1) -> Column:
-    """Differences of two sets of digests; each try with more cells, then exactly."""
+def _try_part(signed: Column, tries: tuple[int, ...], seed: int = 1) -> Column:
+    """How many digests each side has alone: each try with more cells and other places, then exactly."""
     if not tries:
-        return F.struct(F.lit(True).alias("ok"), F.size(F.array_except(a, b)).alias("a"), F.size(F.array_except(b, a)).alias("b"))
-    now = peel(difference(sketch(a, tries[0], seed), sketch(b, tries[0], seed)), tries[0], seed)
-    return _let(now, lambda r: F.when(r["ok"], r).otherwise(_try_part(a, b, tries[1:], seed + 1)))
+        side = lambda n: F.transform(F.filter(signed, lambda q: q["n"] == n), lambda q: q["d"])
+        return F.struct(F.lit(True).alias("ok"), F.size(F.array_except(side(1), side(-1))).alias("a"), F.size(F.array_except(side(-1), side(1))).alias("b"))
+    now = peel(signed_sketch(signed, tries[0], seed), tries[0], seed)
+    return _let(now, lambda r: F.when(r["ok"], r).otherwise(_try_part(signed, tries[1:], seed + 1)))
 
 
 def only_in_one(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
     """Struct (a, b): how many digests only a, only b has. First by the fingerprints' own sketches, then larger."""
-    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / PART).cast("int"))
-
-    def of_part(n: Column) -> Callable[[Column], Column]:
-        def one(s: Column) -> Column:
-            mine = lambda x: F.filter(x, lambda d: F.pmod(d, n) == s)
-            return _let(F.struct(mine(a).alias("a"), mine(b).alias("b")), lambda p: _try_part(p["a"], p["b"], LARGER))
-
-        return one
-
+    signs = lambda x, n: F.transform(x, lambda d: F.struct(d.alias("d"), F.lit(n).alias("n")))
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
     add = lambda acc, r: F.struct((acc["a"] + r["a"]).alias("a"), (acc["b"] + r["b"]).alias("b"))
-    larger = _let(parts, lambda n: F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), of_part(n)), zero, add))
+
+    def in_parts(signed: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.size(signed) / PART).cast("int"))
+        part = lambda s: _let(F.filter(signed, lambda q: F.pmod(q["d"], n) == s), lambda mine: _try_part(mine, LARGER))
+        return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), zero, add)
+
+    larger = _let(F.concat(signs(a, 1), signs(b, -1)), in_parts)
     return _let(peel(difference(small_a, small_b), SMALL), lambda r: F.when(r["ok"], F.struct(r["a"].alias("a"), r["b"].alias("b"))).otherwise(larger))
 
 
