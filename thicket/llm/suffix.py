@@ -5,10 +5,12 @@ Sorting all suffixes of a corpus would move many times its size. Exact reduction
 1. Anchors. A span's anchor is the start of the `GRAM`-byte string inside it with the least rolling hash (leftmost if equal): it depends on
    the span's bytes alone, so equal spans have equal anchors. Consecutive spans with one anchor form a run, of `SPAN - GRAM + 1` spans at most
    and about half as many on average. Spans can only be equal if their runs' anchor grams are.
-2. Classes. Runs with equal bytes (anchor gram and the whole run's hash, 128 bits together) are one class. All spans of a class with two
-   runs or more are repeated. A run with an anchor gram of its own has no repeated span. Only where classes share an anchor gram their
-   spans remain in doubt, and one run of each class speaks for it.
-3. The same again with the runs in doubt cut into blocks of up to `BLOCK` spans, by distance from the anchor; the bytes that all spans of a
+2. Pieces. A run with an anchor gram of its own has no repeated span and goes. Consecutive runs that are left form a piece, which ends before a run whose gram's
+   hash is divisible by `PIECE_RUNS`. Pieces with equal bytes are one class: if it has two or more, all their spans are repeated. One piece of each class
+   goes on, so that a text with thousands of copies is looked into once.
+3. Classes. The runs of those pieces with equal bytes (anchor gram and the whole run's hash, 128 bits together) are one class. All spans of a class with two
+   runs or more are repeated. Only where classes share an anchor gram their spans remain in doubt, and one run of each class speaks for it.
+4. The same again with the runs in doubt cut into blocks of up to `BLOCK` spans, by distance from the anchor; the bytes that all spans of a
    block share take the anchor gram's place.
 
 The suffixes that begin the spans in doubt are then sorted: a suffix is a string of `TOKENS` tokens, hashes of `SPAN / TOKENS` bytes each. Sampled splitters
@@ -40,6 +42,7 @@ SPAN = 400
 GRAM = 200
 TOKENS = 4
 BLOCK = 16
+PIECE_RUNS = 8
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 20
 #: Bits of the bitmap that keeps documents or runs without a partner from being shuffled. It is full at some billion keys, and then lets all through.
@@ -162,22 +165,59 @@ def _batch(batch: pa.RecordBatch, rows: np.ndarray, drop: list[str], more: dict[
     return pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, more.values())], [*kept.schema.names, *more])
 
 
-def _run_finder(wanted=None):
+def _run_finder(make, busy=None, wanted=None):
+    """make: what to return of a job's runs (_grams, _pieces or _runs). busy: bitmap of the grams to keep; wanted: bitmap of the pieces to keep."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
             for data, owner, ends, offset in _segments(batch.column("text").cast(pa.large_binary())):
                 hashes, start, n, anchor = find_runs(data, ends)
                 gram = hashes.of(anchor, GRAM).view(np.int64)
-                if wanted is not None:
-                    keep = _probe(gram, wanted.value)
+                if busy is not None:
+                    keep = _probe(gram, busy.value)
                     start, n, gram, anchor = start[keep], n[keep], gram[keep], anchor[keep]
-                same = _mix(hashes.of(start, n - 1 + SPAN) + n.astype(np.uint64) * _M).view(np.int64)
                 part = np.searchsorted(ends, start, "right") - 1
-                yield _batch(batch, owner[part], ["text"], {"start": start - ends[part] + offset[part], "n": n.astype(np.int32), "ahead": (anchor - start).astype(np.int32), "gram": gram, "same": same})
+                shift = offset[part] - ends[part]
+                yield _batch(batch, *make(hashes, start, n, gram, anchor, owner[part], shift, keys, wanted))
 
     return find
 
 
+def _same(hashes: Hashes, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of all bytes of n consecutive spans."""
+    return _mix(hashes.of(start, n - 1 + SPAN) + n.astype(np.uint64) * _M).view(np.int64)
+
+
+def _grams(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
+    return owner, ["text"], {"gram": gram}
+
+
+def _piece_of(hashes, start, n, gram, owner, shift, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each run's piece, the pieces' first runs, numbers of spans, and ids."""
+    breaks = np.r_[True, (start[1:] != start[:-1] + n[:-1]) | (owner[1:] != owner[:-1]) | (gram[1:] % PIECE_RUNS == 0)] if len(start) else np.zeros(0, bool)
+    first = np.flatnonzero(breaks)
+    of = np.cumsum(breaks) - 1
+    total = np.bincount(of, n, len(first)).astype(np.int64)
+    return of, first, total, _unit_ids(start[first] + shift[first], keys[owner[first]])
+
+
+def _unit_ids(start: np.ndarray, key) -> np.ndarray:
+    return _mix(start.astype(np.uint64) * _M + key).view(np.int64)
+
+
+def _pieces(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
+    _, first, total, ids = _piece_of(hashes, start, n, gram, owner, shift, keys)
+    return owner[first], ["text"], {"start": (start + shift)[first], "n": total.astype(np.int32), "gram": gram[first], "same": _same(hashes, start[first], total), "id": ids}
+
+
+def _runs(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
+    of, _, _, ids = _piece_of(hashes, start, n, gram, owner, shift, keys)
+    keep = _probe(ids, wanted.value)[of]
+    start, n, gram, anchor, owner, shift = (x[keep] for x in (start, n, gram, anchor, owner, shift))
+    return owner, ["text"], {"start": start + shift, "n": n.astype(np.int32), "ahead": (anchor - start).astype(np.int32), "gram": gram, "same": _same(hashes, start, n)}
+
+
 def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
     """The runs of one text, cut into blocks, for a stretch of the text at a time: hashes of the stretch, its offset, and for each block its first span
     in the stretch, number of spans, id, hash of the bytes its spans share, hash of all its bytes."""
@@ -197,8 +237,8 @@ def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
         hashes = Hashes(raw[low : low + int((start + n - low).max()) - 1 + SPAN])
         shared = hashes.of(begin + distance[first] - BLOCK * index[first], SPAN - BLOCK + 1) + index[first].astype(np.uint64)
         full = hashes.of(begin, size - 1 + SPAN) + (size * 1000 + distance[first]).astype(np.uint64) * _M
-        ids = _mix((begin + low).astype(np.uint64) * _M + np.int64(key).view(np.uint64))
-        yield hashes, low, begin, size, ids.view(np.int64), _mix(shared).view(np.int64), _mix(full).view(np.int64)
+        ids = _unit_ids(begin + low, np.int64(key).view(np.uint64))
+        yield hashes, low, begin, size, ids, _mix(shared).view(np.int64), _mix(full).view(np.int64)
         at = k
 
 
@@ -290,17 +330,25 @@ def _busy(units: DataFrame) -> DataFrame:
     return grams.where("units > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("split"))
 
 
+def _interval() -> list:
+    return ["doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).alias("b")]
+
+
+def _members(units: DataFrame, classes: DataFrame) -> DataFrame:
+    """The bytes (doc_id, key, a, b) of the units of the classes."""
+    those = classes.select(F.col("gram").alias("g"), F.col("same").alias("s"))
+    return units.join(those, (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s"))).select(_interval())
+
+
 def _settle(units: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """units: doc_id, key, start, n, gram, same, any more. Returns the bytes of units that another one equals (doc_id, key, a, b), and the units in
     doubt: one of each class of equal units that shares its gram with another class."""
     met = stash(units.join(busy, F.col("gram") == F.col("g")).drop("g"))
-    interval = ["doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + SPAN).alias("b")]
     mixed = met.where("split")
     own = [c for c in units.columns if c not in ("gram", "same")]
     classes = stash(mixed.groupBy("gram", "same").agg(F.count("*").alias("units"), F.min(F.struct(*own)).alias("first")))
-    twice = classes.where("units > 1").select(F.col("gram").alias("g"), F.col("same").alias("s"))
-    again = mixed.join(twice, (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s")))
-    return met.where(~F.col("split")).select(interval).unionByName(again.select(interval)), classes.select("first.*")
+    again = _members(mixed, classes.where("units > 1"))
+    return met.where(~F.col("split")).select(_interval()).unionByName(again), classes.select("first.*")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -308,17 +356,24 @@ def covered(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, key long, start long, n int, ahead int, gram long, same long"
-    busy = stash(_busy(docs.mapInArrow(_run_finder(), schema)))
-    # the second reading keeps only runs whose gram isn't alone, but for a few that the bitmap lets through
-    seen = spark.sparkContext.broadcast(bitmap_of(busy, "g"))
-    whole, doubt = _settle(docs.mapInArrow(_run_finder(seen), schema), busy)
+    share = spark.sparkContext.broadcast
+    grams = docs.mapInArrow(_run_finder(_grams), f"doc_id {kind}, key long, gram long").groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1")
+    # a few grams that are alone pass the bitmap, too; they are found out later
+    busy = share(bitmap_of(grams, "gram"))
+    pieces = stash(docs.mapInArrow(_run_finder(_pieces, busy), f"doc_id {kind}, key long, start long, n int, gram long, same long, id long"))
+    classes = stash(pieces.groupBy("gram", "same").agg(F.count("*").alias("pieces"), F.min("id").alias("id")))
+    copied = _members(pieces, classes.where("pieces > 1"))
+
+    units = stash(docs.mapInArrow(_run_finder(_runs, busy, share(bitmap_of(classes, "id"))), schema))
+    whole, doubt = _settle(units, _busy(units))
+    whole = copied.unionByName(whole)
 
     runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "ahead")).alias("runs"))
     texts = stash(look_up(docs, stash(runs), "inner").select("doc_id", "key", "text", "runs"))
     blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
     parts, doubt = _settle(blocks, _busy(blocks))
 
-    wanted = spark.sparkContext.broadcast(bitmap_of(doubt, "id"))
+    wanted = share(bitmap_of(doubt, "id"))
     suffixes = texts.mapInArrow(_suffix_maker(wanted), f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2)))
     single = repeated_suffixes(suffixes).select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))
     return whole.unionByName(parts).unionByName(single)
