@@ -48,6 +48,15 @@ def unit_interval(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def hashed_sample(df: DataFrame, n: int, seed: int, *by: str) -> DataFrame:
+    """At most n rows (about 10 fewer than n in 100 at times), chosen by a hash of the columns `by`: the same rows each time, and what
+    reaches one place is bounded by n, however many partitions there are."""
+    total = df.count()
+    u = unit_interval(F.lit(seed), *by)
+    share = 1.0 if total <= n else n / total
+    return df.withColumn("__u", u).where(F.col("__u") < share).orderBy("__u", *by).limit(n).drop("__u")
+
+
 #: Columns that an operator doesn't need travel in one struct, so that their names can't clash with its own.
 EXTRA = "__extra"
 

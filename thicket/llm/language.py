@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 from .quality import fold
 
 WIDTH = 24
@@ -211,11 +211,11 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Network | None:
     """docs: doc_id, text, lang. Learns from at most `sample` rows that are neither held out nor unlabelled."""
     learn = (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    mark = F.xxhash64(F.lit(3), "doc_id")
-    chosen = docs.where(learn).select("doc_id", mark.alias("h")).orderBy("h", "doc_id").limit(sample).distinct().withColumnRenamed("doc_id", "_id")
-    rows = docs.where(learn).join(F.broadcast(chosen.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")  # at most `sample` ids
-    picked = rows.select("lang", "text").mapInArrow(_sample_words, "lang string, words array<binary>").orderBy("lang", F.xxhash64("words")).limit(2 * sample).collect()
-    return train([([bytes(w) for w in r.words], r.lang) for r in picked])
+    chosen = hashed_sample(docs.where(learn).select("doc_id"), sample, 3, "doc_id").distinct().withColumnRenamed("doc_id", "_id")
+    rows = docs.where(learn).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")  # at most `sample` ids
+    words = rows.select("doc_id", "text", "lang").mapInArrow(_sample_words, "lang string, words array<binary>")
+    picked = sorted(((r.lang, [bytes(w) for w in r.words]) for r in words.orderBy(F.xxhash64("words"), "lang").limit(2 * sample).collect()), key=lambda x: (x[0], x[1]))
+    return train([(words, lang) for lang, words in picked])
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pack, table, unpack
+from .common import cut, hashed_sample, pack, table, unpack
 
 SAMPLE = 8000
 THRESHOLD = 0.7
@@ -151,7 +151,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
 
 def _sample(featured: DataFrame, n: int) -> np.ndarray:
     """The features of n rows at most, chosen by hash."""
-    rows = featured.select("features", F.xxhash64(F.lit(5), "doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "features").limit(n).select("features").collect()
+    rows = hashed_sample(featured.select("doc_id", "features"), n, 5, "doc_id").orderBy("doc_id", "features").collect()
     return np.array([r.features for r in rows], np.float64).reshape(len(rows), N_FEATURES)
 
 

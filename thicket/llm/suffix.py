@@ -31,9 +31,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pack, partitions, stash, table, unpack
@@ -44,7 +43,7 @@ TOKENS = 4
 BLOCK = 16
 PIECE_RUNS = 8
 #: Bytes of text hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Bits of the bitmap that keeps documents or runs without a partner from being shuffled. It is full at some billion keys, and then lets all through.
 BITMAP = 1 << 24
 PROBES = 2
@@ -369,7 +368,8 @@ def covered(docs: DataFrame) -> DataFrame:
     whole = copied.unionByName(whole)
 
     runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "ahead")).alias("runs"))
-    texts = stash(look_up(docs, stash(runs), "inner").select("doc_id", "key", "text", "runs"))
+    runs = stash(runs)
+    texts = stash(look_up(docs, runs, share(bitmap_of(runs, "key"))).select("doc_id", "key", "text", "runs"))
     blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
     parts, doubt = _settle(blocks, _busy(blocks))
 
@@ -379,26 +379,23 @@ def covered(docs: DataFrame) -> DataFrame:
     return whole.unionByName(parts).unionByName(single)
 
 
-def _may_hold(column: Column, shared) -> Column:
-    """A boolean Column: whether the broadcast bitmap has all bits of the key."""
+def _held(shared):
+    """Keeps the rows whose key the broadcast bitmap may hold."""
 
-    @F.pandas_udf("boolean")
-    def probe(keys: pd.Series) -> pd.Series:
-        return pd.Series(_probe(keys.to_numpy(np.int64), shared.value))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_probe(batch.column("key").to_numpy(), shared.value)))
 
-    return probe(column)
+    return keep
 
 
-def look_up(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """docs joined with wanted (unique doc_id, key) on both; rows of docs that the bitmap of wanted rules out aren't shuffled."""
-    maybe = _may_hold(F.col("key"), docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "key")))
+def look_up(docs: DataFrame, wanted: DataFrame, shared, how: str = "inner") -> DataFrame:
+    """docs joined with wanted (unique doc_id, key); rows that the bitmap of wanted's keys rules out are left out before the shuffle."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    maybe = docs.mapInArrow(_held(shared), schema)
     w = wanted.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    met = docs.where(maybe).join(w, on, how).drop("_id", "_key")
-    if how == "inner":
-        return met
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in wanted.schema.fields if f.name not in ("doc_id", "key")}
-    return met.unionByName(docs.where(~maybe).withColumns(missing))
+    on = maybe["doc_id"].eqNullSafe(F.col("_id")) & (maybe["key"] == F.col("_key"))
+    return maybe.join(w, on, how).drop("_id", "_key")
 
 
 def _merge(cuts: list[dict] | None) -> list[tuple[int, int]]:
@@ -411,13 +408,17 @@ def _merge(cuts: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _cutter(with_text: bool):
+def _cutter(with_text: bool, uncut=None):
+    """Cuts the texts. uncut: a bitmap; rows whose key it may hold are left out, the others have no cuts."""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if uncut is not None:
+                batch = batch.filter(pa.array(~_probe(batch.column("key").to_numpy(), uncut.value)))
             rows, texts = [], []
-            for text, cuts in zip(batch.column("text"), batch.column("cuts")):
+            for k, text in enumerate(batch.column("text")):
                 raw = memoryview(text.cast(pa.large_binary()).as_buffer())
-                spans, at, digest, kept = _merge(cuts.as_py()), 0, hashlib.sha256(), []
+                spans, at, digest, kept = _merge(batch.column("cuts")[k].as_py()) if uncut is None else [], 0, hashlib.sha256(), []
                 for a, b in [*spans, (len(raw), len(raw))]:
                     digest.update(raw[at:a])
                     kept.append(raw[at:a])
@@ -425,7 +426,7 @@ def _cutter(with_text: bool):
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
                 if with_text:
                     texts.append(b"".join(kept).decode("utf-8", "ignore"))
-            out = batch.drop_columns(["text", "cuts"])
+            out = batch.drop_columns(["text", *["cuts"] * (uncut is None)])
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
@@ -440,10 +441,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     packed = pack(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
     slim = packed.select("doc_id", "key", "text").where(F.octet_length("text") >= SPAN)
     cuts = stash(covered(slim).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts")))
-    joined = look_up(packed, cuts, "left")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(cuts, "key"))
     fields = {f.name: f.dataType.simpleString() for f in packed.schema.fields if f.name != "text"}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    out = joined.select(*fields, "text", "cuts").mapInArrow(_cutter(with_text), schema)
+    rows = packed.select(*fields, "text")
+    joined = look_up(rows, cuts, shared, "left").select(*fields, "text", "cuts")
+    out = joined.mapInArrow(_cutter(with_text), schema).unionByName(rows.mapInArrow(_cutter(with_text, shared), schema))
     return unpack(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text)
 
 
