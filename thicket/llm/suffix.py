@@ -3,8 +3,8 @@
 Sorting all suffixes of a corpus would move many times its size. Exact reductions come first:
 
 1. Anchors. A span's anchor is the start of the `GRAM`-byte string inside it with the least rolling hash (leftmost if equal): it depends on
-   the span's bytes alone, so equal spans have equal anchors. Consecutive spans with one anchor form a run, of `SPAN - GRAM + 1` spans at most
-   and about half as many on average. Spans can only be equal if their runs' anchor grams are.
+   the span's bytes alone, so equal spans have equal anchors. Consecutive spans whose anchors have equal grams form a run, of some hundred spans on
+   average (of more in periodic text). Spans can only be equal if their runs' grams are.
 2. Pieces. A run with an anchor gram of its own has no repeated span and goes. Consecutive runs that are left form a piece, which ends before a run whose gram's
    hash is divisible by `PIECE_RUNS`. Pieces with equal bytes are one class: if it has two or more, all their spans are repeated. One piece of each class
    goes on, so that a text with thousands of copies is looked into once.
@@ -125,19 +125,28 @@ def _segments(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield job()
 
 
-def find_runs(data: np.ndarray, ends: np.ndarray) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs in parts of data that lie between the ends. Returns hashes, first spans, numbers of spans, anchors."""
+def find_spans(data: np.ndarray, ends: np.ndarray) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in parts of data that lie between the ends. Returns hashes, where spans start, their anchors, the hashes of the anchors' grams."""
     hashes = Hashes(data)
     mask = np.uint64((1 << 21) - 1)
-    keyed = (hashes.every(GRAM) & ~mask) | np.arange(len(data) - GRAM + 1, dtype=np.uint64)
+    grams = hashes.every(GRAM)
+    keyed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_sliding_min(keyed, SPAN - GRAM + 1) & mask).astype(np.int64)
     within = np.ones(len(anchor), bool)
     for e in ends[1:-1]:
         within[e - SPAN + 1 : e] = False
     spans = np.flatnonzero(within)
     anchor = anchor[spans]
-    first = np.r_[0, np.flatnonzero((anchor[1:] != anchor[:-1]) | (spans[1:] != spans[:-1] + 1)) + 1]
-    return hashes, spans[first], np.diff(np.r_[first, len(spans)]), anchor[first]
+    return hashes, spans, anchor, grams[anchor]
+
+
+def find_runs(data: np.ndarray, ends: np.ndarray) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive spans whose anchors have equal grams. Returns hashes, first spans, numbers of spans, hashes of the grams, and whether a run has
+    several anchors: its spans may then repeat each other."""
+    hashes, spans, anchor, gram = find_spans(data, ends)
+    first = np.r_[0, np.flatnonzero((gram[1:] != gram[:-1]) | (spans[1:] != spans[:-1] + 1)) + 1]
+    last = np.r_[first[1:], len(spans)] - 1
+    return hashes, spans[first], last - first + 1, gram[first].view(np.int64), anchor[first] != anchor[last]
 
 
 def _probe(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -171,14 +180,13 @@ def _run_finder(make, busy=None, wanted=None):
         for batch in batches:
             keys = batch.column("key").to_numpy().view(np.uint64)
             for data, owner, ends, offset in _segments(batch.column("text").cast(pa.large_binary())):
-                hashes, start, n, anchor = find_runs(data, ends)
-                gram = hashes.of(anchor, GRAM).view(np.int64)
+                hashes, start, n, gram, inner = find_runs(data, ends)
                 if busy is not None:
                     keep = _probe(gram, busy.value)
-                    start, n, gram, anchor = start[keep], n[keep], gram[keep], anchor[keep]
+                    start, n, gram, inner = start[keep], n[keep], gram[keep], inner[keep]
                 part = np.searchsorted(ends, start, "right") - 1
                 shift = offset[part] - ends[part]
-                yield _batch(batch, *make(hashes, start, n, gram, anchor, owner[part], shift, keys, wanted))
+                yield _batch(batch, *make(hashes, start, n, gram, inner, owner[part], shift, keys, wanted))
 
     return find
 
@@ -188,8 +196,9 @@ def _same(hashes: Hashes, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _mix(hashes.of(start, n - 1 + SPAN) + n.astype(np.uint64) * _M).view(np.int64)
 
 
-def _grams(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
-    return owner, ["text"], {"gram": gram}
+def _grams(hashes, start, n, gram, inner, owner, shift, keys, wanted):
+    times = 1 + inner  # a run that may repeat itself isn't alone
+    return np.repeat(owner, times), ["text"], {"gram": np.repeat(gram, times)}
 
 
 def _piece_of(hashes, start, n, gram, owner, shift, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,35 +214,37 @@ def _unit_ids(start: np.ndarray, key) -> np.ndarray:
     return _mix(start.astype(np.uint64) * _M + key).view(np.int64)
 
 
-def _pieces(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
+def _pieces(hashes, start, n, gram, inner, owner, shift, keys, wanted):
     _, first, total, ids = _piece_of(hashes, start, n, gram, owner, shift, keys)
     return owner[first], ["text"], {"start": (start + shift)[first], "n": total.astype(np.int32), "gram": gram[first], "same": _same(hashes, start[first], total), "id": ids}
 
 
-def _runs(hashes, start, n, gram, anchor, owner, shift, keys, wanted):
+def _runs(hashes, start, n, gram, inner, owner, shift, keys, wanted):
     of, _, _, ids = _piece_of(hashes, start, n, gram, owner, shift, keys)
     keep = _probe(ids, wanted.value)[of]
-    start, n, gram, anchor, owner, shift = (x[keep] for x in (start, n, gram, anchor, owner, shift))
-    return owner, ["text"], {"start": start + shift, "n": n.astype(np.int32), "ahead": (anchor - start).astype(np.int32), "gram": gram, "same": _same(hashes, start, n)}
+    start, n, gram, inner, owner, shift = (x[keep] for x in (start, n, gram, inner, owner, shift))
+    return owner, ["text"], {"start": start + shift, "n": n.astype(np.int32), "gram": gram, "same": _same(hashes, start, n), "inner": inner}
 
 
 def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
     """The runs of one text, cut into blocks, for a stretch of the text at a time: hashes of the stretch, its offset, and for each block its first span
     in the stretch, number of spans, id, hash of the bytes its spans share, hash of all its bytes."""
-    runs = sorted((r["start"], r["n"], r["ahead"]) for r in runs)
+    runs = sorted((r["start"], r["n"]) for r in runs)
     at = 0
     while at < len(runs):
         low, k = runs[at][0], at
         while k < len(runs) and runs[k][0] + runs[k][1] + SPAN - low <= SEGMENT:
             k += 1
-        start, n, ahead = (np.array(x, np.int64) for x in zip(*runs[at:k]))
+        start, n = (np.array(x, np.int64) for x in zip(*runs[at:k]))
         of = np.repeat(np.arange(len(n)), n)
         spans = np.arange(n.sum()) - np.r_[0, np.cumsum(n)[:-1]][of] + (start - low)[of]
-        distance = (start - low + ahead)[of] - spans
+        stretch = raw[low : low + int((start + n - low).max()) - 1 + SPAN]
+        hashes, _, anchor, _ = find_spans(stretch, np.array([0, len(stretch)]))
+        anchor = anchor[spans]
+        distance = anchor - spans
         index = distance // BLOCK
-        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (index[1:] != index[:-1])])
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (index[1:] != index[:-1]) | (anchor[1:] != anchor[:-1])])
         size, begin = np.diff(np.r_[first, len(spans)]), spans[first]
-        hashes = Hashes(raw[low : low + int((start + n - low).max()) - 1 + SPAN])
         shared = hashes.of(begin + distance[first] - BLOCK * index[first], SPAN - BLOCK + 1) + index[first].astype(np.uint64)
         full = hashes.of(begin, size - 1 + SPAN) + (size * 1000 + distance[first]).astype(np.uint64) * _M
         ids = _unit_ids(begin + low, np.int64(key).view(np.uint64))
@@ -252,7 +263,7 @@ def _block_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, key, text, runs -> a row for each block of the runs."""
     for batch in batches:
         for row, (_, low, begin, size, ids, shared, full) in _texts_with_runs(batch):
-            yield _batch(batch, np.full(len(begin), row), ["text", "runs"], {"start": begin + low, "n": size.astype(np.int32), "ahead": np.zeros(len(begin), np.int32), "gram": shared, "same": full, "id": ids})
+            yield _batch(batch, np.full(len(begin), row), ["text", "runs"], {"start": begin + low, "n": size.astype(np.int32), "gram": shared, "same": full, "inner": np.zeros(len(begin), bool), "id": ids})
 
 
 def _suffix_maker(wanted):
@@ -294,7 +305,8 @@ def _bucket_sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if whole is None or not whole.num_rows:
         return
-    tokens = [whole.column(f"t{j}").to_numpy().view(np.uint64) for j in range(TOKENS // 2)]
+    # in the order in which Spark ranged them, that of signed longs, so that a bucket's ends are its bounds' neighbours
+    tokens = [whole.column(f"t{j}").to_numpy().view(np.uint64) ^ np.uint64(1 << 63) for j in range(TOKENS // 2)]
     keys = [part for t in tokens for part in ((t >> np.uint64(32)).astype(np.uint32), t.astype(np.uint32))]
     order = multikey_quicksort(keys)
     equal = np.ones(len(order) - 1, bool)
@@ -324,9 +336,9 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
 
 
 def _busy(units: DataFrame) -> DataFrame:
-    """g: the grams that more than one unit has; split: whether those units differ."""
-    grams = units.groupBy("gram").agg(F.count("*").alias("units"), F.min("same").alias("low"), F.max("same").alias("high"))
-    return grams.where("units > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("split"))
+    """g: the grams that more than one unit has, or one that may repeat itself; split: whether those units differ or may repeat themselves."""
+    grams = units.groupBy("gram").agg(F.count("*").alias("units"), F.min("same").alias("low"), F.max("same").alias("high"), F.max("inner").alias("inner"))
+    return grams.where("units > 1 OR inner").select(F.col("gram").alias("g"), ((F.col("low") != F.col("high")) | F.col("inner")).alias("split"))
 
 
 def _interval() -> list:
@@ -344,7 +356,7 @@ def _settle(units: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
     doubt: one of each class of equal units that shares its gram with another class."""
     met = stash(units.join(busy, F.col("gram") == F.col("g")).drop("g"))
     mixed = met.where("split")
-    own = [c for c in units.columns if c not in ("gram", "same")]
+    own = [c for c in units.columns if c not in ("gram", "same", "inner")]
     classes = stash(mixed.groupBy("gram", "same").agg(F.count("*").alias("units"), F.min(F.struct(*own)).alias("first")))
     again = _members(mixed, classes.where("units > 1"))
     return met.where(~F.col("split")).select(_interval()).unionByName(again), classes.select("first.*")
@@ -354,7 +366,7 @@ def covered(docs: DataFrame) -> DataFrame:
     """docs: doc_id, key, text (no nulls in key and text). Intervals of bytes to remove: doc_id, key, a, b."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key long, start long, n int, ahead int, gram long, same long"
+    schema = f"doc_id {kind}, key long, start long, n int, gram long, same long, inner boolean"
     share = spark.sparkContext.broadcast
     grams = docs.mapInArrow(_run_finder(_grams), f"doc_id {kind}, key long, gram long").groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1")
     # a few grams that are alone pass the bitmap, too; they are found out later
@@ -367,7 +379,7 @@ def covered(docs: DataFrame) -> DataFrame:
     whole, doubt = _settle(units, _busy(units))
     whole = copied.unionByName(whole)
 
-    runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n", "ahead")).alias("runs"))
+    runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     runs = stash(runs)
     texts = stash(look_up(docs, runs, share(bitmap_of(runs, "key"))).select("doc_id", "key", "text", "runs"))
     blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
