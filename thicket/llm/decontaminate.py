@@ -262,6 +262,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold test items: doc_id, item_id, score, question_overlap, answer_overlap."""
+    """The documents that hold test items: doc_id, item_id, question_overlap, answer_overlap."""
     leaks = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return leaks.drop("text_hash")
+    return leaks.drop("text_hash", "score")
+
+
+ORACLE_SQL = r"""
+WITH iw AS (SELECT item_id, words, len(words) // 2 AS h FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) > 0),
+halves AS (SELECT item_id, 'q' AS half, words[1 : h] AS ws FROM iw UNION ALL SELECT item_id, 'a', words[h + 1 :] FROM iw),
+ig AS (SELECT DISTINCT item_id, half, least(5, len(ws)) AS size, array_to_string(ws[p : p + least(5, len(ws)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS p FROM halves WHERE len(ws) > 0)),
+need AS (SELECT item_id, half, count(*) AS n FROM ig GROUP BY item_id, half),
+l AS (SELECT max(len(words)) AS half_passage FROM iw),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+dg AS (SELECT doc_id, p - 1 AS pos, size, array_to_string(words[p : p + size - 1], ' ') AS gram FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM dw, (SELECT DISTINCT size FROM ig) WHERE len(words) >= size)),
+hit AS (SELECT doc_id, pos, size, item_id, half, gram FROM dg JOIN ig USING (gram, size)),
+placed AS (SELECT DISTINCT doc_id, item_id, half, gram, passage FROM (SELECT *, unnest([pos // half_passage - 1, pos // half_passage]) AS passage, half_passage FROM hit, l) WHERE passage >= 0 AND pos + size <= (passage + 2) * half_passage),
+found AS (SELECT doc_id, item_id, passage, count(*) FILTER (half = 'q') AS q, count(*) FILTER (half = 'a') AS a FROM placed GROUP BY doc_id, item_id, passage),
+scored AS (SELECT doc_id, found.item_id, coalesce(q / nq.n, 1.0) AS question_overlap, coalesce(a / na.n, 1.0) AS answer_overlap FROM found LEFT JOIN need nq ON nq.item_id = found.item_id AND nq.half = 'q' LEFT JOIN need na ON na.item_id = found.item_id AND na.half = 'a')
+SELECT doc_id, item_id, arg_max(question_overlap, question_overlap + answer_overlap) AS question_overlap, arg_max(answer_overlap, question_overlap + answer_overlap) AS answer_overlap FROM scored WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8 GROUP BY doc_id, item_id
+"""

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import EXTRA, WORD, cut, pack, table, unit_interval, unpack
+from .common import EXTRA, WORD, cut, pack, table, unpack
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -32,10 +32,16 @@ BINS = 1 << 14
 def quality_weight(text: Column) -> Column:
     """Share of letters and spaces in the text, 0.05 at least: markup and symbol runs weigh less."""
     n = F.length(text)
-    odd = F.regexp_count(text, F.lit(r"[^\p{L}\s]"))
+    odd = F.regexp_count(text, F.lit(r"[^\p{L}\t\n\x0B\f\r ]"))
     return F.coalesce(F.greatest(F.lit(0.05), 1.0 - odd / F.greatest(n, F.lit(1))), F.lit(0.05))
 
 
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the document: 52 bits of an MD5 digest, which other engines have, too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"), text))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def source_targets(totals: DataFrame, weights: Sequence[float], max_epochs: float) -> DataFrame:
     """totals: (source, source_size), one row a source. Adds `target` by water filling.
 
@@ -69,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float =
         *(c for c in ("doc_id", "source", EXTRA) if c in packed.columns),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        unit_interval(F.lit(seed), "doc_id", text).alias("_u"),
+        uniform(seed, F.col("doc_id"), text).alias("_u"),
         quality_weight(text).alias("_q"),
     )
     # 1 - exp(-key) rises with the exponential key and lies in (0, 1), so equal bins can be cut from it.
@@ -115,3 +121,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), text)), 1, 13) AS BIGINT) AS m,
+    coalesce(greatest(0.05, 1.0 - length(regexp_replace(text, '[\p{L}\t\n\x0b\f\r ]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE)), 0.05) AS q FROM documents),
+k AS (SELECT *, -ln((m + 0.5) / 4503599627370496.0) / q AS key FROM d),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+c AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1] :: DOUBLE AS w, source_size * 3.0 :: DOUBLE AS cap FROM s),
+f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM c WINDOW o AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT min(level) FILTER (cap / w = first_open) AS final FROM f, (SELECT min(cap / w) AS first_open FROM f WHERE level <= cap / w)),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, coalesce(final * w, cap)) AS target FROM f, b),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target + 0.5) / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - epochs * source_size - coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+"""

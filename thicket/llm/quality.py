@@ -8,7 +8,7 @@ Features are shape statistics of the whole text (byte classes, words, repetition
 both the training sample and the scores are read. The fit uses at most `SAMPLE` positives and `SAMPLE` unlabelled rows, chosen by hash of doc_id, on the driver.
 
 Defined cases: null text counts as empty; empty texts have the score that the model gives to zero features. A doc_id with several labels
-counts as positive if most are 1; a null label says nothing. Without any positive every score is the prior, 0.5. Repeated rows give repeated results; an empty
+counts as positive if most are 1; a null label says nothing. Without any positive nothing speaks against a text, and every score is `UNKNOWN`, which is accepted. Repeated rows give repeated results; an empty
 table gives an empty result.
 """
 
@@ -26,6 +26,7 @@ from .common import cut, hashed_sample, pack, table, unpack
 
 SAMPLE = 8000
 THRESHOLD = 0.7
+UNKNOWN = 0.75
 HIDDEN = 12
 FOLDS, HELD_OUT = 4, 2
 
@@ -112,7 +113,7 @@ class Model:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, seed: int = 11) -> Model:
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], 0.5)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], UNKNOWN)
     prior = min(0.95, max(0.05, prior))
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     rng = np.random.default_rng(seed)

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat.ORACLE_SQL}
+    return {"op2_suffix_dedup": suffix.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

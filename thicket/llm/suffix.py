@@ -464,3 +464,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT k, p, hash(b[p + 1 : p + 400]) AS h FROM (SELECT k, b, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+i AS (SELECT k, p, sum(CASE WHEN p <= last_p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY p) AS island FROM (SELECT k, p, coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -1000) AS last_p FROM r)),
+s AS (SELECT k, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY k, island),
+g AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS z FROM s UNION ALL SELECT k, max(z), NULL FROM s GROUP BY k),
+t AS (SELECT k, list(hex(b[g.a + 1 : coalesce(g.z, n)]) ORDER BY g.a) AS kept FROM g JOIN d USING (k) GROUP BY k),
+c AS (SELECT k, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(list_aggregate(kept, 'string_agg', '')) END) AS kept_sha256
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
+"""
