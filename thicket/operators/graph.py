@@ -28,19 +28,18 @@ def resolve_dependencies(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def find_symbols(analyzed: DataFrame, name: str | Column | None = None, kind: str | None = None) -> DataFrame:
-    """Symbols, then exports that no symbol of the file (and no earlier export) equals in name and kind; by path and order. name None: all."""
-    symbols = unnest(analyzed, "symbols").withColumn("__list", F.lit(0))
-    exports = unnest(analyzed, "export_signatures").withColumn("__list", F.lit(1))
-    fields = [c for c in symbols.columns if c not in ("path", "name", "kind")]
-    # exports count once each; symbols all count
-    once = exports.groupBy("path", "name", "kind").agg(F.min_by(F.struct(*fields), "seq").alias("__e")).select("path", "name", "kind", "__e.*")
-    new = once.join(symbols.select("path", "name", "kind").distinct(), ["path", "name", "kind"], "left_anti")
-    found = symbols.unionByName(new)
+    """path, seq, name, kind, ...: symbols, then exports that no symbol of the file and no earlier export equals in name and kind. name None: all.
+    Both lists lie in the file's row, so nothing is shuffled and files are analysed once."""
+    symbols, exports = F.col("analysis.symbols"), F.col("analysis.export_signatures")
+    same = lambda a, b: (a["name"] == b["name"]) & (a["kind"] == b["kind"])
+    new = F.filter(exports, lambda e, i: ~F.exists(symbols, lambda s: same(s, e)) & ~F.exists(F.slice(exports, F.lit(1), i), lambda x: same(x, e)))
+    every = F.concat(symbols, new)
     if name is not None:
-        found = found.where(F.col("name") == name)
+        every = F.filter(every, lambda s: s["name"] == name)
     if kind is not None:
-        found = found.where(F.col("kind") == kind)
-    return found
+        every = F.filter(every, lambda s: s["kind"] == kind)
+    rows = analyzed.select("path", F.posexplode(every).alias("seq", "__s"))
+    return rows.select("path", "seq", "__s.*")
 
 
 class ProjectGraph:
@@ -83,7 +82,7 @@ class ProjectGraph:
         return self._files.where(F.col("path") == wanted).withColumn("analysis", analysis_of(F.col("code"))).select("path", "analysis")
 
     def get_symbol_details(self, name: str, kind: str | None = None) -> DataFrame:
-        return find_symbols(self.analyzed(), name, kind).orderBy("path", "__list", "seq").drop("__list")
+        return find_symbols(self.analyzed(), name, kind).orderBy("path", "seq")
 
     def analyze_dependencies(self, paths: list[str]) -> DataFrame:
         """A row for each requested path, in order: path and its resolved imports (empty for unknown paths)."""

@@ -24,6 +24,12 @@ def normalize_text(text: str) -> str:
     return _TRIVIA.sub("", text)
 
 
+def is_ignorable(text: str) -> bool:
+    """Whether nothing is left of a text once normalized."""
+    first = text[:1]
+    return not first or (first == "/" or first.isspace()) and not normalize_text(text)
+
+
 def normalize_signature(text: str) -> str:
     return normalize_text(text).split("{", 1)[0]
 
@@ -101,14 +107,24 @@ class PatternMatcher(Matcher):
             return None
         nodes, wanted = node.children, pattern.children
         if not self.exact:
-            nodes = [n for n in nodes if normalize_text(n.text)]
-            wanted = tuple(p for p in wanted if p.role != "node" or normalize_text(p.text))
+            nodes = [n for n in nodes if not is_ignorable(n.text)]
+            wanted = tuple(p for p in wanted if p.role != "node" or not is_ignorable(p.text))
         if not nodes and not wanted:
             return env if self._same(pattern.text, node.text) else None
         return self._sequence(nodes, wanted, env)
 
     def _sequence(self, nodes: list[TreeNode], wanted: tuple[PatternNode, ...], env: Env) -> Env | None:
         """Siblings against a list of patterns. Placeholders for several take as few as they can."""
+        several = sum(p.role in ("multi", "any") for p in wanted)
+        if len(wanted) - several > len(nodes) or not several and len(wanted) != len(nodes):
+            return None
+        if not several:
+            for node, p in zip(nodes, wanted):
+                found = self._node(node, p, env)
+                if found is None:
+                    return None
+                env = found
+            return env
         failed: set[tuple] = set()
         captured = [Captured.of(n) for n in nodes]
 
