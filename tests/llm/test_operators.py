@@ -127,6 +127,9 @@ def test_main_text_cases(spark):
     got = [(r.page_id, r.text, r.node) for r in html_extract.extract_main_text(df).collect()]
     assert (1, "", 1) in got and (2, "", 1) in got and (5, "T\n\none two\n\nthree", 1) in got and (5, "a < b", 1) in got
     assert html_extract.extract_main_text(df.where("false")).count() == 0
+    model = html_extract.trained_model()
+    assert html_extract.extract_texts(["<body><p>Some words here, and more of them.</p><p>A second paragraph, with as many words.</p></body>"], model) == ["Some words here, and more of them.\n\nA second paragraph, with as many words."]
+    assert html_extract.extract_texts(["<body><nav><ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul></nav><footer>Copyright</footer></body>"], model) == [""]
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ A page becomes a tree of nodes: block elements, and inline elements that have a
 attributes and its ancestors', the density of text, links and tags in its subtree, its depth, its place in the page and statistics of its siblings.
 Boosted trees, trained on the driver from pages made by rule (dom_training), give the probability that a node holds part of the article.
 Decoding picks the likeliest labelling in which a node is kept only if its parent is, by one pass up and one pass down the tree; so no
-text is kept inside a dropped element.
+text is kept inside a dropped element. A page of which nothing would be kept is decoded once more with all odds raised by `SECOND_CHANCE`.
 
 The kept nodes' text, in page order, is cut into blocks at block elements' tags. Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed, empty ones dropped, and the rest joined by a blank line.
@@ -30,6 +30,8 @@ from .common import pack, table, unpack
 from .dom_training import NAMES, labelled_pages
 
 TRAIN_PAGES, TREES, TREE_DEPTH, BINS = 700, 50, 4, 32
+#: Log-odds added to all nodes of a page of which nothing would be kept.
+SECOND_CHANCE = 1.5
 #: Characters of html parsed before the nodes are classified together.
 JOB = 4 << 20
 
@@ -357,7 +359,11 @@ def extract_texts(pages: list[str], model: Boosted) -> list[str]:
     for page in pages:
         forest.add_page(page)
     a = forest.arrays()
-    kept = decode(a, model.logits(features(a))).tolist()
+    z = model.logits(features(a))
+    kept = decode(a, z)
+    # pages that would have no text at all are decoded again, with the benefit of the doubt
+    bare = np.bincount(a["page"], a["text"] * kept, len(pages)) == 0
+    kept = (decode(a, z + SECOND_CHANCE * bare[a["page"]]) if bare.any() else kept).tolist()
     out = []
     for k, first in enumerate(forest.first_run):
         stop = forest.first_run[k + 1] if k + 1 < len(forest.first_run) else len(forest.runs)
