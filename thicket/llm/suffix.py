@@ -352,7 +352,8 @@ def _members(units: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _settle(units: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """units: doc_id, key, start, n, gram, same, any more. Returns the bytes of units that another one equals (doc_id, key, a, b), and the units in
+    """units: doc_id, key, start, n, gram, same, any more; busy: their _busy(), as a table of its own, so that a gram with very many units can be split
+    between tasks when the two are joined. Returns the bytes of units that another one equals (doc_id, key, a, b), and the units in
     doubt: one of each class of equal units that shares its gram with another class."""
     met = stash(units.join(busy, F.col("gram") == F.col("g")).drop("g"))
     mixed = met.where("split")
@@ -376,14 +377,14 @@ def covered(docs: DataFrame) -> DataFrame:
     copied = _members(pieces, classes.where("pieces > 1"))
 
     units = stash(docs.mapInArrow(_run_finder(_runs, busy, share(bitmap_of(classes, "id"))), schema))
-    whole, doubt = _settle(units, _busy(units))
+    whole, doubt = _settle(units, stash(_busy(units)))
     whole = copied.unionByName(whole)
 
     runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     runs = stash(runs)
     texts = stash(look_up(docs, runs, share(bitmap_of(runs, "key"))).select("doc_id", "key", "text", "runs"))
     blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
-    parts, doubt = _settle(blocks, _busy(blocks))
+    parts, doubt = _settle(blocks, stash(_busy(blocks)))
 
     wanted = share(bitmap_of(doubt, "id"))
     suffixes = texts.mapInArrow(_suffix_maker(wanted), f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2)))
