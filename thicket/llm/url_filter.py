@@ -102,7 +102,7 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def probability(host: Column, path: Column, weights: Sequence[float], bias: float) -> Column:
-    table_of = F.lit([float(w) for w in weights])
+    table_of = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into a literal
     buckets = F.array_distinct(F.transform(F.concat(*(_grams(s, n) for s in (F.concat(F.lit("^"), host, F.lit("$")), path) for n in GRAMS)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int")))
     total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(table_of, b))
     return 1 / (1 + F.exp(-(F.lit(bias) + total / F.sqrt(F.greatest(F.lit(1), F.size(buckets))))))
