@@ -154,6 +154,27 @@ def test_containers(spark):
     assert (found["setup"].line, found["setup"].column, found["setup"].metavariables) == (3, 0, {"A": "1"}) and found["none"].script is None
 
 
+@pytest.mark.parametrize(
+    "tag, found",
+    [
+        ("<script setup>", True),
+        ("<script SETUP lang='ts'>", True),
+        ("<script lang=ts setup>", True),
+        ("<script lang = 'a setup b'>", False),
+        ("<script data-setup>", False),
+        ("<script / setup>", False),
+        ("<script lang=ts/ setup>", True),
+        ("<script =x setup>", True),
+        ("<script 'x' setup>", True),
+        ("<script x='unclosed setup>", False),
+        ("<script setup=''>", True),
+        ("<script>", False),
+    ],
+)
+def test_setup_attribute(tag, found):
+    assert C.has_attribute(tag, "setup") == found
+
+
 def test_analysis(spark):
     code = """import a, { b as c } from './utils'; import * as ns from 'n';
 export interface User<K> { name: string }

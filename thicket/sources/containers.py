@@ -13,21 +13,21 @@ _OPEN = r"<{0}(?:[ \t\r\n/][^>]*)?>"
 SCRIPT = r"(?is)<script(?:[ \t\r\n/][^>]*)?>(.*?)</script>"
 # The whole block, and what comes before its content.
 _BLOCK_PARTS = r"(?is)(<script(?:[ \t\r\n/][^>]*)?>)(.*?)(</script>)"
-_ATTRIBUTE = re.compile(r"""\s*(?:([^\s=>/"']+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?|["'][^>]*?(?:["']|$)|=)""")
+# One attribute: a name (quotes belong to it), then a value if there is an equals sign.
+_ATTRIBUTE = re.compile(r"""([^ \t\n\f\r=>/]*)[ \t\n\f\r]*(?:=[ \t\n\f\r]*(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*|))?""")
 
 
 def has_attribute(tag: str, name: str) -> bool:
-    """Whether a start tag has the attribute: quoted values don't count, a bare slash ends the search."""
-    body = re.sub(r"^<[a-zA-Z]+", "", tag).rstrip(">")
-    at = 0
-    while at < len(body):
-        m = _ATTRIBUTE.match(body, at)
-        if not m or m.end() == at:
-            return False
-        if m[1] and m[1].lower() == name:
+    """Whether a start tag has the attribute: quoted values don't count, a slash where a name could begin ends the search."""
+    at = re.match(r"<?[A-Za-z]*", tag).end()
+    while True:
+        at += len(tag[at:]) - len(tag[at:].lstrip(" \t\n\f\r"))
+        m = _ATTRIBUTE.match(tag, at)
+        if m[1].lower() == name:
             return True
+        if m.end() == at:  # at the end, a slash or the closing bracket
+            return False
         at = m.end()
-    return False
 
 
 def is_setup_tag(tag: Column) -> Column:
