@@ -44,7 +44,8 @@ BLOCK = 16
 PIECE_RUNS = 8
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 19
-#: Bits of the bitmap that keeps documents or runs without a partner from being shuffled. It is full at some billion keys, and then lets all through.
+#: Bits of the bitmap that keeps documents and runs without a partner from being shuffled. Beyond some ten million keys it lets ever more through, at last
+#: all: then every run and every text is shuffled, and the joins after it find the same as ever.
 BITMAP = 1 << 24
 PROBES = 2
 
@@ -226,9 +227,9 @@ def _runs(hashes, start, n, gram, inner, owner, shift, keys, wanted):
     return owner, ["text"], {"start": start + shift, "n": n.astype(np.int32), "gram": gram, "same": _same(hashes, start, n), "inner": inner}
 
 
-def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
+def _blocks(raw: np.ndarray, runs: list[dict]) -> Iterator[tuple]:
     """The runs of one text, cut into blocks, for a stretch of the text at a time: hashes of the stretch, its offset, and for each block its first span
-    in the stretch, number of spans, id, hash of the bytes its spans share, hash of all its bytes."""
+    in the stretch, number of spans, hash of the bytes its spans share, hash of all its bytes."""
     runs = sorted((r["start"], r["n"]) for r in runs)
     at = 0
     while at < len(runs):
@@ -247,40 +248,43 @@ def _blocks(raw: np.ndarray, runs: list[dict], key: int) -> Iterator[tuple]:
         size, begin = np.diff(np.r_[first, len(spans)]), spans[first]
         shared = hashes.of(begin + distance[first] - BLOCK * index[first], SPAN - BLOCK + 1) + index[first].astype(np.uint64)
         full = hashes.of(begin, size - 1 + SPAN) + (size * 1000 + distance[first]).astype(np.uint64) * _M
-        ids = _unit_ids(begin + low, np.int64(key).view(np.uint64))
-        yield hashes, low, begin, size, ids, _mix(shared).view(np.int64), _mix(full).view(np.int64)
+        yield hashes, low, begin, size, _mix(shared).view(np.int64), _mix(full).view(np.int64)
         at = k
 
 
 def _texts_with_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
     for row in range(batch.num_rows):
         raw = np.frombuffer(batch.column("text")[row].cast(pa.large_binary()).as_buffer(), np.uint8)
-        for found in _blocks(raw, batch.column("runs")[row].as_py(), batch.column("key")[row].as_py()):
+        for found in _blocks(raw, batch.column("runs")[row].as_py()):
             yield row, found
 
 
 def _block_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, key, text, runs -> a row for each block of the runs."""
     for batch in batches:
-        for row, (_, low, begin, size, ids, shared, full) in _texts_with_runs(batch):
-            yield _batch(batch, np.full(len(begin), row), ["text", "runs"], {"start": begin + low, "n": size.astype(np.int32), "gram": shared, "same": full, "inner": np.zeros(len(begin), bool), "id": ids})
+        for row, (_, low, begin, size, shared, full) in _texts_with_runs(batch):
+            yield _batch(batch, np.full(len(begin), row), ["text", "runs"], {"start": begin + low, "n": size.astype(np.int32), "gram": shared, "same": full, "inner": np.zeros(len(begin), bool)})
 
 
-def _suffix_maker(wanted):
-    """doc_id, key, text, runs -> a row for each span of the wanted blocks: where it starts, and its tokens, two in a long."""
+def _suffix_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, text, blocks (array of start, n) -> a row for each span of the blocks: where it starts, and its tokens, two in a long."""
     width = SPAN // TOKENS
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, (hashes, low, begin, size, ids, _, _) in _texts_with_runs(batch):
-                keep = _probe(ids, wanted.value)
-                begin, size = begin[keep], size[keep]
-                spans = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            raw = np.frombuffer(batch.column("text")[row].cast(pa.large_binary()).as_buffer(), np.uint8)
+            blocks = sorted((r["start"], r["n"]) for r in batch.column("blocks")[row].as_py())
+            at = 0
+            while at < len(blocks):
+                low, k = blocks[at][0], at
+                while k < len(blocks) and blocks[k][0] + blocks[k][1] + SPAN - low <= SEGMENT:
+                    k += 1
+                begin, size = (np.array(x, np.int64) for x in zip(*blocks[at:k]))
+                hashes = Hashes(raw[low : int((begin + size).max()) - 1 + SPAN])
+                spans = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin - low, size)
                 tokens = [hashes.of(spans + j * width, width) >> np.uint64(32) for j in range(TOKENS)]
                 packed = [((tokens[j] << np.uint64(32)) | tokens[j + 1]).view(np.int64) for j in range(0, TOKENS, 2)]
-                yield _batch(batch, np.full(len(spans), row), ["text", "runs"], {"at": spans + low, **{f"t{j}": p for j, p in enumerate(packed)}})
-
-    return make
+                yield _batch(batch, np.full(len(spans), row), ["text", "blocks"], {"at": spans + low, **{f"t{j}": p for j, p in enumerate(packed)}})
+                at = k
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 1 << 12) -> np.ndarray:
@@ -383,11 +387,12 @@ def covered(docs: DataFrame) -> DataFrame:
     runs = doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     runs = stash(runs)
     texts = stash(look_up(docs, runs, share(bitmap_of(runs, "key"))).select("doc_id", "key", "text", "runs"))
-    blocks = texts.mapInArrow(_block_maker, f"{schema}, id long")
+    blocks = texts.mapInArrow(_block_maker, schema)
     parts, doubt = _settle(blocks, stash(_busy(blocks)))
 
-    wanted = share(bitmap_of(doubt, "id"))
-    suffixes = texts.mapInArrow(_suffix_maker(wanted), f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2)))
+    lists = doubt.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
+    chosen = texts.drop("runs").join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "blocks")
+    suffixes = chosen.mapInArrow(_suffix_maker, f"doc_id {kind}, key long, at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2)))
     single = repeated_suffixes(suffixes).select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))
     return whole.unionByName(parts).unionByName(single)
 
