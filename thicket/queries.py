@@ -43,7 +43,8 @@ def text(*parts) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all tasks before parsing: the tables are single files, and parsing costs far more than moving small rows."""
+    """Rows over all tasks before parsing: the tables are single files, adaptive execution would bring small shuffles into one task, and parsing
+    costs far more than moving such rows."""
     return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
 
 
@@ -211,7 +212,7 @@ def pattern_repeat_binding(spark: SparkSession, d: str) -> DataFrame:
 def multi_capture(spark: SparkSession, d: str) -> DataFrame:
     lists = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("ls"))
     args = F.array_join(F.transform("ls", lambda x: x["l_partkey"].cast("string")), ", ")
-    found = S.find_pattern(lists.select("l_orderkey", text("call(", args, ");").alias("code")), "call($$$A);")
+    found = S.find_pattern(spread(lists.select("l_orderkey", text("call(", args, ");").alias("code"))), "call($$$A);")
     return found.select("l_orderkey", F.col("metavariables")["A"].alias("args"), F.size(F.col("multi")["A"]).cast("long").alias("n"))
 
 
@@ -324,7 +325,7 @@ def order_modules(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.concat(F.repeat(text("  ship.item(", k, ");\n"), F.coalesce(F.col("n"), F.lit(0)).cast("int")), F.when(k % 5 == 0, "  console.log(1);\n").otherwise(""))
     code = F.concat(text("export function order", k, "(a: string, b): void {\n"), body, F.lit("}\n"), F.when(k % 7 == 0, text("var v", k, " = 1;\n")).otherwise(""))
-    return o.select("o_orderkey", text("o/", k, ".ts").alias("path"), code.alias("code"))
+    return spread(o.select("o_orderkey", text("o/", k, ".ts").alias("path"), code.alias("code")))
 
 
 @query("""
