@@ -238,7 +238,8 @@ def analysis_of(code: Column) -> Column:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
         return pa.array([None if c is None else analyze_text(c) for c in codes.to_pylist()], _arrow(ANALYSIS))
 
-    return F.arrow_udf(run, ANALYSIS)(code)
+    # It is deterministic, but said not to be: else filters that Spark infers from an explode run it a second time, below shuffles.
+    return F.arrow_udf(run, ANALYSIS).asNondeterministic()(code)
 
 
 def analyze(df: DataFrame, code: str = "code") -> DataFrame:
