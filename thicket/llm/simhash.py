@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pack, table, unpack
 from .graph import connected_components
+from .shingles import similar_documents
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -130,9 +131,12 @@ def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns of docs, for one row of each component: its least doc_id (of rows with that id, the one with the least text hash)."""
-    found = cut(near_duplicates(docs))
+def deduplicate(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """All columns of docs, for one row of each component: its least doc_id (of rows with that id, the one with the least text hash).
+    Components of the fingerprints' links, or with a similarity those of documents whose sets of `width`-word shingles are so similar (Jaccard)."""
+    if similarity is None and width != SHINGLE_WORDS:
+        raise ValueError("fingerprints are of three words; give a similarity with another width")
+    found = cut(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
     mark = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_own")).agg(F.min(mark).alias("best"), F.count("*").alias("rows"))
     kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
