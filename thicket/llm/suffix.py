@@ -1,4 +1,4 @@
-"""Suffix-array dedup: remove every byte that a repeated string of `SPAN` = 400 bytes covers.
+"""Suffix-array dedup: remove every byte that a repeated string of `SPAN` = 400 bytes covers, and on request every repeated passage of over 50 words.
 
 Sorting all suffixes of a corpus would move many times its size. Exact reductions come first:
 
@@ -17,6 +17,10 @@ The suffixes that begin the spans in doubt are then sorted: a suffix is a string
 range-partition the suffixes by leading tokens (ties are dealt out further by position, so that a suffix that is everywhere fills several buckets); each bucket sorts
 by multikey quicksort and compares neighbours; the ends of adjacent buckets are compared in a second, small step.
 
+Passages. On request, passages of `PASSAGE` = 51 words that repeat go, too, however short the words and whatever white space is between them. The same
+steps then work on the texts' words, each written as a hash of `WORD_BYTES` = 8 bytes: the span that starts 4 bytes into a word's hash ends 4 bytes into
+that of the 50th word after it, so it is repeated if those 51 words are (the first and last are compared on 32 bits of hash). Other spans don't count.
+
 No group of equal runs or suffixes is ever collected: counts are combined before the shuffle, and joins back have one row a class on one side.
 Texts move only for documents that have something to look up; a bitmap of fixed size sorts out most others beforehand.
 
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,8 @@ GRAM = 200
 TOKENS = 4
 BLOCK = 16
 PIECE_RUNS = 8
+PASSAGE = 51
+WORD_BYTES = SPAN // (PASSAGE - 1)
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 19
 #: Bits of the bitmap that keeps documents and runs without a partner from being shuffled. Beyond some ten million keys it lets ever more through, at last
@@ -397,6 +404,50 @@ def covered(docs: DataFrame) -> DataFrame:
     return whole.unionByName(parts).unionByName(single)
 
 
+class _Codes(dict):
+    """Word -> its hash in WORD_BYTES bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.setdefault(word, xxhash.xxh64_digest(word))
+
+
+def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, text -> the same with the words' codes as text."""
+    codes = _Codes()
+    for batch in batches:
+        texts = []
+        for text in batch.column("text").cast(pa.large_binary()):
+            texts.append(b"".join(map(codes.__getitem__, text.as_py().split())))
+            if len(codes) > 1 << 18:
+                codes.clear()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
+
+
+def covered_words(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, key, text (no nulls in key and text). Intervals of words in repeated passages: doc_id, key, a, b."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = docs.where(F.octet_length("text") >= 2 * PASSAGE - 1).mapInArrow(_encoder, f"doc_id {kind}, key long, text binary")
+    half = WORD_BYTES // 2
+    first = F.ceil((F.col("a") - half) / WORD_BYTES).cast("long")
+    last = F.floor((F.col("b") - SPAN - half) / WORD_BYTES).cast("long")
+    return covered(coded).select("doc_id", "key", first.alias("a"), (last + PASSAGE).alias("b")).where(F.col("b") - F.col("a") >= PASSAGE)
+
+
+def _word_bounds(raw: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    data = np.frombuffer(raw, np.uint8)
+    word = np.r_[False, (data != 0x20) & ((data < 0x09) | (data > 0x0D)), False]
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+
+
+def _in_bytes(cuts: list[dict] | None, raw: memoryview) -> list[dict]:
+    """The cuts, those in words turned into bytes from the first word's start to the last one's end."""
+    if not any(c["words"] for c in cuts or ()):
+        return cuts or []
+    starts, ends = _word_bounds(raw)
+    return [{"a": int(starts[c["a"]]), "b": int(ends[c["b"] - 1])} if c["words"] else c for c in cuts]
+
+
 def _held(shared):
     """Keeps the rows whose key the broadcast bitmap may hold."""
 
@@ -436,7 +487,7 @@ def _cutter(with_text: bool, uncut=None):
             rows, texts = [], []
             for k, text in enumerate(batch.column("text")):
                 raw = memoryview(text.cast(pa.large_binary()).as_buffer())
-                spans, at, digest, kept = _merge(batch.column("cuts")[k].as_py()) if uncut is None else [], 0, hashlib.sha256(), []
+                spans, at, digest, kept = _merge(_in_bytes(batch.column("cuts")[k].as_py(), raw)) if uncut is None else [], 0, hashlib.sha256(), []
                 for a, b in [*spans, (len(raw), len(raw))]:
                     digest.update(raw[at:a])
                     kept.append(raw[at:a])
@@ -454,11 +505,15 @@ def _cutter(with_text: bool, uncut=None):
     return remove
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """docs: doc_id, text, any more. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, with_text: the text that is left, and the others."""
+def remove_repeats(docs: DataFrame, with_text: bool = True, passages: bool = False) -> DataFrame:
+    """docs: doc_id, text, any more. passages: repeated passages of PASSAGE words go, too. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    with_text: the text that is left, and the others."""
     packed = pack(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
     slim = packed.select("doc_id", "key", "text").where(F.octet_length("text") >= SPAN)
-    cuts = stash(covered(slim).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts")))
+    found = covered(slim).withColumn("words", F.lit(False))
+    if passages:
+        found = found.unionByName(covered_words(packed.select("doc_id", "key", "text")).withColumn("words", F.lit(True)))
+    cuts = stash(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b", "words")).alias("cuts")))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(cuts, "key"))
     fields = {f.name: f.dataType.simpleString() for f in packed.schema.fields if f.name != "text"}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
