@@ -21,7 +21,7 @@ from thicket.llm.dom_training import labelled_pages
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside: extra columns of these names must travel unharmed.
-CLASHING = ("_key", "size", "fp", "text_hash", "key", "cuts", "score", "__extra", "next_text", "gram")
+CLASHING = ("_key", "size", "fp", "text_hash", "key", "cuts", "score", "__extra", "next_text", "gram", "my-col", "a b", "x:y", "back`tick", "dot.ted")
 
 
 def read(name: str) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def test_repeats_within_a_small_segment(spark, monkeypatch):
     data.append(data[0][1000:4500] + noise(2000) + data[1][100:900])
     whole = suffix.find_runs
     monkeypatch.setattr(suffix, "SEGMENT", 2048)
-    parts = list(suffix._segments(__import__("pyarrow").array([d.encode() for d in data])))
+    parts = list(suffix._segments(__import__("pyarrow").array([d.encode() for d in data]), suffix.BYTES, suffix.BYTES.reader()))
     assert whole is suffix.find_runs and sum(len(p[1]) for p in parts) > 8
     covered = {k: set() for k in range(3)}
     for _, owner, ends, offset in parts:

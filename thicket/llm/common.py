@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from ..storage import shared_folder, stash
+
+__all__ = ["EXTRA", "WORD", "Bitmap", "bitmap_of", "cut", "fields", "hashed_sample", "held", "look_up", "pack", "partitions", "quoted", "shared_folder", "stash", "table", "unit_interval", "unpack"]
 
 #: Word separators of the fingerprint and mixing contracts, as a regular expression class body.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,29 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where none is set (tests) make one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ckpt-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: later steps survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared checkpoint folder and read again: like cut(), but compressed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,19 +47,83 @@ def hashed_sample(df: DataFrame, n: int, seed: int, *by: str) -> DataFrame:
     return df.withColumn("__u", u).where(F.col("__u") < share).orderBy("__u", *by).limit(n).drop("__u")
 
 
+def quoted(name: str) -> str:
+    """A column's name as text in which nothing is read as an operator or a field."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: Columns that an operator doesn't need travel in one struct, so that their names can't clash with its own.
 EXTRA = "__extra"
 
 
 def pack(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns, and all others in the struct EXTRA (absent if there are none)."""
-    others = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    others = [F.col(quoted(c)) for c in df.columns if c not in needed]
     return df.select(*needed, *([F.struct(*others).alias(EXTRA)] if others else []))
 
 
 def unpack(df: DataFrame, *results: str) -> DataFrame:
     """The result columns, then the packed ones unless a result has the same name."""
-    others = []
+    others, taken = [], {r.lower() for r in results}
     if EXTRA in df.columns:
-        others = [F.col(EXTRA)[f.name].alias(f.name) for f in df.schema[EXTRA].dataType.fields if f.name not in results]
+        others = [F.col(EXTRA)[f.name].alias(f.name) for f in df.schema[EXTRA].dataType.fields if f.name.lower() not in taken]
     return df.select(*results, *others)
+
+
+def fields(of: DataFrame | StructType, *names: str, more: str = "") -> StructType:
+    """The named fields of a schema and those of a DDL string. Types and odd names are handed on as they are, never as text."""
+    schema = of.schema if isinstance(of, DataFrame) else of
+    added = _parse_datatype_string(more).fields if more else []
+    return StructType([StructField(n, schema[n].dataType) for n in names] + added)
+
+
+# -- which rows have a partner elsewhere ----------------------------------------------------------------------------------
+
+#: Bits of a bitmap, from the least to the most; beyond some ten million keys it lets ever more through, and what lets all through costs a shuffle only.
+LEAST_BITS, MOST_BITS = 20, 27
+PROBES = 2
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """A Bloom filter of mixed 64-bit keys."""
+
+    words: np.ndarray
+    bits: int
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """For each key False if it isn't among those of the bitmap, True if it may be."""
+        keys, ok = keys.view(np.uint64), np.ones(len(keys), bool)
+        for k in range(PROBES):
+            bit = (keys >> np.uint64(32 * k)) & np.uint64((1 << self.bits) - 1)
+            ok &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def bitmap_of(keys: DataFrame, column: str):
+    """A broadcast Bitmap of the keys (a mixed long; a table that is cheap to read), 8 bits or more for each key, up to 2 ** MOST_BITS in all."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * n - 1).bit_length()))
+    places = F.array(*[F.shiftrightunsigned(F.col(column), 32 * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(PROBES)])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.select(F.explode(places).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found.column("w").to_numpy().astype(np.int64)] = found.column("v").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(words, bits))
+
+
+def held(rows: DataFrame, shared, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key a broadcast Bitmap may hold, or those whose key it doesn't hold. Narrow."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column(key).to_numpy()) == inside))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def look_up(rows: DataFrame, wanted: DataFrame, shared, how: str = "inner") -> DataFrame:
+    """rows (doc_id, key, ...) joined with wanted (unique doc_id, key, ...); rows that the Bitmap of wanted's keys rules out are left out before the shuffle."""
+    w = wanted.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    maybe = held(rows, shared, "key")
+    return maybe.join(w, maybe["doc_id"].eqNullSafe(F.col("_id")) & (maybe["key"] == F.col("_key")), how).drop("_id", "_key")

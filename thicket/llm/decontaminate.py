@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pack, table, unpack
+from .common import fields, pack, quoted, stash, table, unpack
 
 RETRIEVE = 0.7
 OVERLAP = 0.8
@@ -231,8 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     n = items.count()
     blocks = max(1, -(-n // block_items))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = fields(rows, "doc_id", more="text_hash long, item_id long, score double, question_overlap double, answer_overlap double")
 
     # collection statistics cover all items; the vocabulary of the benchmark is what a block's index is made with
     words = items.select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), F.lit(1)).alias("w"))
@@ -255,10 +254,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a test item; all columns."""
-    leaks = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    leaks = stash(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     packed = pack(docs, "doc_id", "text")
     same = packed["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return unpack(packed.join(leaks, same, "left_anti"), "doc_id", "text").select(*docs.columns)
+    return unpack(packed.join(leaks, same, "left_anti"), "doc_id", "text").select(*map(quoted, docs.columns))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

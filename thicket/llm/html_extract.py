@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, table, unpack
+from .common import fields, pack, table, unpack
 from .dom_training import NAMES, labelled_pages
 
 TRAIN_PAGES, TREES, TREE_DEPTH, BINS = 700, 50, 4, 32
@@ -402,9 +402,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, html, any more. Returns page_id, url, text, n_chars and the others."""
     packed = pack(pages, "page_id", "url", "html")
     shared = pages.sparkSession.sparkContext.broadcast(trained_model())
-    fields = {f.name: f.dataType.simpleString() for f in packed.schema.fields if f.name != "html"}
-    schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + ", text string, n_chars long"
-    return unpack(packed.select(*fields, "html").mapInArrow(_extractor(shared), schema), "page_id", "url", "text", "n_chars")
+    others = [c for c in packed.columns if c != "html"]
+    return unpack(packed.mapInArrow(_extractor(shared), fields(packed, *others, more="text string, n_chars long")), "page_id", "url", "text", "n_chars")
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, table
+from .common import fields, hashed_sample, table
 from .quality import fold
 
 WIDTH = 24
@@ -237,8 +237,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), text.rlike(r"\p{L}").alias("lettered"), text.alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(predict, fields(rows, "doc_id", more="held_out boolean, lang_pred string, score double"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,12 @@ target is met by complete epochs first, then by a fractional one: its documents
 exponential keys (-ln(u) / quality weight) and taken up to the budget. The document that
 crosses the budget is taken in part, so that a source's sum equals its whole target.
 
-Distributed prefix sums: keys are put into `BINS` bins per source, the bins are summed and
-accumulated, and only the one bin in which a source's budget ends is ordered row by row. So no source,
-however large, is collected into one task. The one single-task step works on one row a source.
+Distributed prefix sums: keys, as whole numbers, are binned by their leading digits; the bins are summed and accumulated, and the one bin of each source in which its
+budget ends is binned again by the next digits, until it has no more than `CROSSING` rows, which are ordered one by one. So no source, however large and however
+its weights lie, is collected into one task: a window sees at most some thousand bins, or the last bin's rows. The one single-task step works on one row a source.
 
-Defined cases: null text or no words: size 0, taken 0. Null source: a source of its own, ranked last. Repeated
-rows: each counts. An empty table gives an empty result. Other columns are carried along untouched unless
+Defined cases: null text or no words: size 0, taken 0. Null source: a source of its own, ranked last. Repeated rows: each counts; rows with equal doc_id and text
+are taken in the order of a hash of their other columns. An empty table gives an empty result. Other columns are carried along untouched unless
 they are named like a result column, in which case the result's replaces them.
 """
 
@@ -22,11 +22,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import EXTRA, WORD, cut, pack, table, unpack
+from .common import EXTRA, WORD, pack, quoted, stash, table, unpack
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
-BINS = 1 << 14
+#: Keys lie in (0, 740); as whole numbers they are counted in units of 2 ** -UNIT. Digits that are dropped from one level of bins to the next.
+UNIT = 50
+LEVELS = (48, 36, 24, 12, 0)
+#: Rows of a source that one task puts in order.
+CROSSING = 10_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -67,55 +71,66 @@ def source_targets(totals: DataFrame, weights: Sequence[float], max_epochs: floa
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 7, with_hash: bool = False) -> DataFrame:
-    """docs: doc_id, text, source, any more. Returns doc_id, source, size, source_size, target, taken and the others but text."""
+def _plan(base: DataFrame, weights: Sequence[float], max_epochs: float, crossing: int) -> DataFrame:
+    """base: source, size, _units. A row a source: its target, whole epochs, what is to be taken in part (_rest), and where that ends: documents with _units
+    below _low are taken once more, those from _low on and below _high in order until _rest is reached; _before is the size below _low."""
+    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    whole = F.floor(F.col("target") + 0.5).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.withColumn("_epochs", epochs).withColumn("_rest", F.when(F.col("source_size") > 0, whole - F.col("_epochs") * F.col("source_size")).otherwise(0))
+    plan = stash(plan.withColumns({"_low": F.lit(0).cast("long"), "_high": F.lit((1 << 63) - 1), "_before": F.lit(0).cast("long"), "_rows": F.lit(0).cast("long")}))
+    for level in LEVELS:
+        p = plan.select(F.col("source").alias("_s"), "_low", "_high")
+        open_rows = base.join(p, base["source"].eqNullSafe(F.col("_s")) & (F.col("_units") >= F.col("_low")) & (F.col("_units") < F.col("_high")))
+        bins = open_rows.groupBy("source", F.shiftright("_units", level).alias("_bin")).agg(F.sum("size").alias("_size"), F.count("*").alias("_n"))
+        upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        p = plan.select(F.col("source").alias("_s"), "_rest", "_before")
+        met = bins.withColumn("_upto", upto).join(p, bins["source"].eqNullSafe(F.col("_s")))
+        # the first bin by which the budget is reached
+        first = met.where(F.col("_before") + F.col("_upto") >= F.col("_rest")).groupBy("_s").agg(F.min_by(F.struct("_bin", "_size", "_n", "_upto"), "_bin").alias("_b"))
+        at = lambda bin_: F.call_function("shiftleft", bin_, F.lit(level))
+        found = first.select("_s", at(F.col("_b._bin")).alias("_l"), at(F.col("_b._bin") + 1).alias("_h"), (F.col("_b._upto") - F.col("_b._size")).alias("_more"), F.col("_b._n").alias("_n"))
+        joined = plan.join(found, plan["source"].eqNullSafe(F.col("_s")), "left")
+        plan = stash(
+            joined.select(
+                "source", "source_size", "target", "_epochs", "_rest",
+                F.coalesce("_l", "_low").alias("_low"), F.coalesce("_h", "_high").alias("_high"), (F.col("_before") + F.coalesce("_more", F.lit(0))).alias("_before"), F.coalesce("_n", F.lit(0)).alias("_rows"),
+            )
+        )
+        if (plan.agg(F.max("_rows")).first()[0] or 0) <= crossing:
+            break
+    return plan
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 7, with_text: bool = False, crossing: int = CROSSING) -> DataFrame:
+    """docs: doc_id, text, source, any more. Returns doc_id, source, size, source_size, target, taken, with_text: the text, and the others."""
     packed = pack(docs, "doc_id", "text", "source")
     text = F.col("text")
-    base = packed.select(
-        *(c for c in ("doc_id", "source", EXTRA) if c in packed.columns),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        uniform(seed, F.col("doc_id"), text).alias("_u"),
-        quality_weight(text).alias("_q"),
-    )
-    # 1 - exp(-key) rises with the exponential key and lies in (0, 1), so equal bins can be cut from it.
+    carried = [c for c in ("doc_id", "source", *["text"] * with_text, EXTRA) if c in packed.columns]
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    base = packed.select(*carried, size.alias("size"), uniform(seed, F.col("doc_id"), text).alias("_u"), quality_weight(text).alias("_q"))
     base = base.withColumn("_key", -F.log("_u") / F.col("_q")).drop("_u", "_q")
-    base = cut(base.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BINS)).cast("int")))
-
-    bins = base.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
-    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    plan = targets.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor((F.floor(F.col("target") + 0.5)) / F.col("source_size"))).otherwise(0)).withColumn(
-        "_rest", F.when(F.col("source_size") > 0, F.floor(F.col("target") + 0.5).cast("long") - F.col("_epochs") * F.col("source_size")).otherwise(0)
-    )
-    in_order = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_bin_size").over(in_order), F.lit(0)))
-    bins = cut(bins.join(plan, bins["source"].eqNullSafe(plan["source"])).drop(plan["source"]))
-
-    b = bins.withColumnRenamed("source", "_s").withColumnRenamed("_bin", "_b")
-    joined = base.join(b, base["source"].eqNullSafe(F.col("_s")) & (base["_bin"] == F.col("_b"))).drop("_s", "_b")
-    whole = F.col("_before") + F.col("_bin_size") <= F.col("_rest")
-    crossing = ~whole & (F.col("_before") < F.col("_rest"))
-    settled = joined.where(~crossing).withColumn("_part", F.when(whole, F.col("size")).otherwise(F.lit(0)))
-    row_order = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    base = stash(base.withColumn("_units", F.floor(F.col("_key") * F.lit(float(1 << UNIT))).cast("long")))
+    plan = _plan(base.select("source", "size", "_units"), weights, max_epochs, crossing)
+
+    p = plan.withColumnRenamed("source", "_s")
+    joined = base.join(p, base["source"].eqNullSafe(F.col("_s"))).drop("_s")
+    open_row = (F.col("_units") >= F.col("_low")) & (F.col("_units") < F.col("_high")) & (F.col("size") > 0)
+    settled = joined.where(~open_row).withColumn("_part", F.when(F.col("_units") < F.col("_low"), F.col("size")).otherwise(F.lit(0)))
+    tie = F.xxhash64(*[F.col(EXTRA)[f.name] for f in packed.schema[EXTRA].dataType.fields if f.dataType.typeName() not in ("map", "variant")]) if EXTRA in carried else F.lit(0)
+    row_order = Window.partitionBy("source").orderBy("_key", "doc_id", "size", tie).rowsBetween(Window.unboundedPreceding, -1)
+    split = joined.where(open_row)
     ahead = F.col("_before") + F.coalesce(F.sum("size").over(row_order), F.lit(0))
-    split = joined.where(crossing).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - ahead)))
-    taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
-    both = settled.unionByName(split).withColumn("taken", taken)
-    return unpack(both, "doc_id", "source", "size", "source_size", "target", "taken", *["_hash"] * with_hash)
+    split = split.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - ahead)))
+    both = settled.unionByName(split).withColumn("taken", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long"))
+    return unpack(both, "doc_id", *["text"] * with_text, "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of which the mix takes any words, all columns, with size, source_size, target, taken. Rows that are equal in doc_id and text may be
-    taken differently; they are paired with the mix's rows by number."""
+    """The documents of which the mix takes any words, all columns, with size, source_size, target, taken."""
     results = ("size", "source_size", "target", "taken")
-    mixed = mix(docs.select("doc_id", "text", "source"), with_hash=True).drop("source").withColumnsRenamed({"doc_id": "_id"})
-    mixed = mixed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.desc("taken"))))
-    packed = pack(docs, "doc_id", "text").withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    packed = packed.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")) & (F.col("_k") == F.col("_n"))
-    kept = packed.join(mixed.where("taken > 0"), same)
     others = [c for c in docs.columns if c not in results]
-    return unpack(kept, "doc_id", "text", *results).select(*others, *results)
+    return mix(docs, with_text=True).where("taken > 0").select(*map(quoted, others), *results)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

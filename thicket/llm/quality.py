@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_sample, pack, table, unpack
+from .common import fields, hashed_sample, pack, quoted, stash, table, unpack
 
 SAMPLE = 8000
 THRESHOLD = 0.7
@@ -159,8 +159,7 @@ def _sample(featured: DataFrame, n: int) -> np.ndarray:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, quality. Returns doc_id, text_hash, held_out, score, predicted."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    featured = cut(rows.mapInArrow(_features, f"doc_id {kind}, text_hash long, features array<float>"))
+    featured = stash(rows.mapInArrow(_features, fields(rows, "doc_id", more="text_hash long, features array<float>")))
     featured = featured.withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD_OUT)
     learn = featured.where(~F.col("held_out"))
     marks = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.avg("quality") > 0.5).alias("good"))
@@ -176,7 +175,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep.schema.names, "score", "predicted"])
 
-    return featured.select("doc_id", "text_hash", "held_out", "features").mapInArrow(score, f"doc_id {kind}, text_hash long, held_out boolean, score double, predicted int")
+    return featured.select("doc_id", "text_hash", "held_out", "features").mapInArrow(score, fields(rows, "doc_id", more="text_hash long, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,7 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rejected = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     packed = pack(docs, "doc_id", "text")
     same = packed["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return unpack(packed.join(cut(rejected), same, "left_anti"), "doc_id", "text").select(*docs.columns)
+    return unpack(packed.join(stash(rejected), same, "left_anti"), "doc_id", "text").select(*map(quoted, docs.columns))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

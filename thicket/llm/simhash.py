@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pack, table, unpack
+from .common import bitmap_of, cut, fields, held, look_up, pack, quoted, stash, table, unpack
 from .graph import connected_components
 from .shingles import similar_documents
 
@@ -84,8 +84,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the text, to tell rows with one doc_id apart), fp (the bits as a signed long). One narrow stage."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(_fingerprints, fields(rows, "doc_id", more="text_hash long, fp long"))
 
 
 def _slot_keys(fp: Column) -> Column:
@@ -136,17 +135,20 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float |
     Components of the fingerprints' links, or with a similarity those of documents whose sets of `width`-word shingles are so similar (Jaccard)."""
     if similarity is None and width != SHINGLE_WORDS:
         raise ValueError("fingerprints are of three words; give a similarity with another width")
-    found = cut(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
-    mark = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_own")).agg(F.min(mark).alias("best"), F.count("*").alias("rows"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    packed = pack(docs, "doc_id", "text").withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = packed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    counts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).withColumnsRenamed({"doc_id": "_cid", "text_hash": "_chash"})
-    kept = kept.join(counts, kept["_id"].eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash"))).select("_id", "_hash", "copies")
-    chosen = packed.join(kept, same)
-    repeated = chosen.where("copies > 1").dropDuplicates(["doc_id", "_text_hash"])
-    return unpack(chosen.where("copies = 1").unionByName(repeated), "doc_id", "text").select(*docs.columns)
+    found = stash(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
+    # only rows of components of two or more have a fate; all others stay where they are
+    own = F.when(F.col("component_id").isNull(), F.col("fp"))
+    groups = found.groupBy("component_id", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    groups = groups.withColumnsRenamed({"component_id": "c", "own": "o"})
+    met = found.join(groups, F.col("component_id").eqNullSafe(F.col("c")) & own.eqNullSafe(F.col("o")))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    fates = stash(met.groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.max(stays).alias("stays")))
+    shared = bitmap_of(fates, "key")
+    packed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    chosen = look_up(packed, fates, shared, "left")
+    one = chosen.where("stays").dropDuplicates(["doc_id", "key"])  # rows that are equal in doc_id and text
+    rest = held(packed, shared, "key", inside=False).unionByName(chosen.where("stays IS NULL").drop("stays"))
+    return unpack(rest.unionByName(one.drop("stays")), "doc_id", "text").select(*[quoted(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
