@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +20,20 @@ from .operators.scan import _match_row, _node_rows, apply_rule, ast_nodes, find_
 from .operators.tree import shallow_tree
 from .plans.rules import RuleError, compile_pattern, load_rule, parse_rule
 from .sources.files import in_memory, read_files, summary_json, write_in_place
+from .storage import stash
 
-__all__ = ["ProjectGraph", "RuleError", "analyze", "analyze_json", "annotate_issues", "apply_rule", "ast_nodes", "find_matches", "find_pattern", "find_pattern_in_sfc", "initialize_graph", "load_rule", "parse_rule", "read_files", "register", "rewrites", "scan", "scan_directory", "tools", "write_in_place"]
+__all__ = ["ProjectGraph", "RuleError", "analyze", "analyze_json", "annotate_issues", "apply_rule", "ast_nodes", "find_matches", "find_pattern", "find_pattern_in_sfc", "initialize_graph", "load_rule", "parse_rule", "read_files", "register", "rewrites", "scan", "scan_directory", "ship", "tools", "write_in_place"]
+
+
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors, for clusters on which it isn't installed: a zip in the driver's temporary folder, handed to them by Spark."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    return str(target)
 
 
 def scan_directory(spark: SparkSession, root: str, rule: str, dry_run: bool = True, extensions: str | None = None) -> DataFrame:
@@ -29,7 +44,7 @@ def scan_directory(spark: SparkSession, root: str, rule: str, dry_run: bool = Tr
         return scan(files, document)
     if document.fix is None:
         raise RuleError("Rule has no fix")
-    done = rewrites(files, document, mode="failfast").persist()  # read once: writing changes the input
+    done = stash(rewrites(files, document, mode="failfast"))  # whole and safe before any file is changed: what is lost later isn't read from changed files
     write_in_place(done.where(F.col("error").isNull()))
     return done.select("path", "rule_id", "matches", "modifications", "error")
 

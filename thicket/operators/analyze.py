@@ -6,13 +6,14 @@ Unlike rules, analysis looks into function bodies and all expressions. Files wit
 from __future__ import annotations
 
 import json
-import sys
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .js_parser import JsSyntaxError, Node, Source, parse
+from .scopes import redeclarations
 
 _LOCATION = "line:bigint,column:bigint"
 SYMBOL = f"struct<name:string,kind:string,params:array<string>,return_type:string,type_params:array<string>,exported:boolean,{_LOCATION}>"
@@ -20,10 +21,27 @@ EXPORT = f"struct<name:string,kind:string,{_LOCATION}>"
 ISSUE = f"struct<category:string,severity:string,message:string,{_LOCATION}>"
 IMPORT = f"struct<source:string,kind:string,specifiers:array<string>,is_type_only:boolean,{_LOCATION}>"
 EDGE = f"struct<caller:string,callee:string,{_LOCATION}>"
-ANALYSIS = (
-    f"struct<language:string,exports:array<{EXPORT}>,issues:array<{ISSUE}>,imports:array<{IMPORT}>,export_signatures:array<{SYMBOL}>,symbols:array<{SYMBOL}>,"
-    f"classes:array<{SYMBOL}>,interfaces:array<{SYMBOL}>,type_aliases:array<{SYMBOL}>,comments:array<string>,jsdoc:array<string>,call_edges:array<{EDGE}>>"
-)
+#: The lists of an analysis by name.
+PARTS = {
+    "exports": EXPORT,
+    "issues": ISSUE,
+    "imports": IMPORT,
+    "export_signatures": SYMBOL,
+    "symbols": SYMBOL,
+    "classes": SYMBOL,
+    "interfaces": SYMBOL,
+    "type_aliases": SYMBOL,
+    "comments": "string",
+    "jsdoc": "string",
+    "call_edges": EDGE,
+}
+
+
+def analysis_type(parts: Iterable[str] = PARTS) -> str:
+    return "struct<language:string," + ",".join(f"{p}:array<{PARTS[p]}>" for p in parts) + ">"
+
+
+ANALYSIS = analysis_type()
 # Fixed wording of the lint rules.
 VAR_MESSAGE = "Avoid using 'var'. Use 'const' or 'let' instead."
 CONSOLE_MESSAGE = "Console statement detected. Remove in production code."
@@ -59,18 +77,23 @@ def _arrow(ddl: str) -> pa.DataType:
 
 def callee_name(node: Node) -> str | None:
     """a, a.b.c; <computed> for computed names, <expr> for objects without a name; None for other callees."""
-    if node.type == "Identifier":
-        return node.name
-    if node.type != "Member":
+    names = []
+    while node.type == "Member":
+        names.append(node.parts["name"] or "<computed>")
+        node = node.object
+    if node.type != "Identifier" and not names:
         return None
-    return f"{callee_name(node.object) or '<expr>'}.{node.parts['name'] or '<computed>'}"
+    return ".".join([node.name if node.type == "Identifier" else "<expr>", *reversed(names)])
 
 
 class _Walk:
     """One pass over a program in source order, keeping the names of the functions and classes around."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, parts: Iterable[str] = PARTS):
         self.text, self.source = text, Source(text)
+        wanted = set(parts)
+        self.wants_symbols = bool(wanted & {"symbols", "classes", "interfaces", "type_aliases"})
+        self.wants_issues, self.wants_edges = "issues" in wanted, "call_edges" in wanted
         self.symbols, self.classes, self.interfaces, self.aliases, self.edges, self.lints = [], [], [], [], [], []
         self.scopes, self.owners = ["<module>"], []
 
@@ -84,50 +107,54 @@ class _Walk:
     def symbol(self, node: Node, name: str, kind: str, params=(), returns=None, type_params=(), exported=False) -> dict:
         return {"name": name, "kind": kind, "params": list(params), "return_type": returns, "type_params": list(type_params), "exported": exported, **self.where(node)}
 
-    def visit(self, node: Node) -> None:
-        handler = getattr(self, f"on_{node.type}", None)
-        if handler:
-            handler(node)
-        else:
-            self.inside(node)
-
-    def inside(self, node: Node) -> None:
-        for child in node.nodes():
-            self.visit(child)
-
-    def scoped(self, name: str, node: Node) -> None:
+    def visit(self, program: Node) -> None:
+        """Handlers say what is to be done when all that is inside a node has been visited. The stack is a list: a chain of any length is fine."""
+        todo: list = [program]
+        while todo:
+            item = todo.pop()
+            if type(item) is not Node:
+                item.pop()  # the scope or class that ends here
+                continue
+            handler = getattr(self, f"on_{item.type}", None)
+            entered = handler(item) if handler else None
+            if entered is not None:
+                todo.append(entered)
+            if item.type not in ("Interface", "TypeAlias"):
+                todo += reversed(list(item.nodes()))
+
+    def scoped(self, name: str) -> list[str]:
         self.scopes.append(name)
-        self.inside(node)
-        self.scopes.pop()
+        return self.scopes
 
     @staticmethod
     def names(function: Node) -> list[str]:
         return [p.target.name for p in function.params if p.target.type == "Binding" and not p.rest]
 
     def on_VariableDeclaration(self, node: Node) -> None:
-        if node.kind == "var":
+        if node.kind == "var" and self.wants_issues:
             self.lints.append({"category": "best-practices", "severity": "warning", "message": VAR_MESSAGE, **self.where(node)})
-        self.inside(node)
 
-    def on_Function(self, node: Node) -> None:
+    def on_Function(self, node: Node) -> list[str]:
         name = node.name or f"<anonymous@{self.where(node)['line']}>"
-        self.symbols.append(self.symbol(node, name, "function", self.names(node), self.span(node.returns), node.type_params))
-        self.scoped(name, node)
+        if self.wants_symbols:
+            self.symbols.append(self.symbol(node, name, "function", self.names(node), self.span(node.returns), node.type_params))
+        return self.scoped(name)
 
-    def on_Class(self, node: Node) -> None:
+    def on_Class(self, node: Node) -> list[str]:
         name = node.name or "<anonymous-class>"
-        found = self.symbol(node, name, "class")
-        self.classes.append(found)
-        self.symbols.append(found)
+        if self.wants_symbols:
+            found = self.symbol(node, name, "class")
+            self.classes.append(found)
+            self.symbols.append(found)
         self.owners.append(name)
-        self.inside(node)
-        self.owners.pop()
+        return self.owners
 
-    def on_Method(self, node: Node) -> None:
+    def on_Method(self, node: Node) -> list[str]:
         own = node.key.name if node.key.type == "Name" else "<computed>"
         name = f"{self.owners[-1] if self.owners else '<class>'}.{own}"
-        self.symbols.append(self.symbol(node, name, "method", self.names(node.function), self.span(node.function.returns)))
-        self.scoped(name, node)
+        if self.wants_symbols:
+            self.symbols.append(self.symbol(node, name, "method", self.names(node.function), self.span(node.function.returns)))
+        return self.scoped(name)
 
     def on_Interface(self, node: Node) -> None:
         found = self.symbol(node, node.name, "interface", type_params=node.type_params)
@@ -140,13 +167,12 @@ class _Walk:
         self.symbols.append(found)
 
     def on_Call(self, node: Node) -> None:
-        callee = callee_name(node.callee)
+        callee = callee_name(node.callee) if self.wants_edges else None
         if callee is not None:
             self.edges.append({"caller": self.scopes[-1], "callee": callee, **self.where(node)})
         target = node.callee
-        if target.type == "Member" and target.object.type == "Identifier" and target.object.name == "console":
+        if target.type == "Member" and target.object.type == "Identifier" and target.object.name == "console" and self.wants_issues:
             self.lints.append({"category": "dev-code", "severity": "warning", "message": CONSOLE_MESSAGE, **self.where(node)})
-        self.inside(node)
 
     # -- modules ------------------------------------------------------------------------
 
@@ -175,51 +201,29 @@ class _Walk:
         return [(name, kind, kind) for name, kind in found]
 
 
-def redeclarations(body: list[Node]) -> list[str]:
-    """Names that one scope declares twice with let, const or class."""
-    seen: dict[str, bool] = {}
-    found = []
-    for s in body:
-        s = s.declaration if s.type == "ExportNamed" and s.declaration is not None else s
-        names = []
-        if s.type == "VariableDeclaration":
-            names = [(d.target.name, s.kind != "var") for d in s.items if d.target.type == "Binding"]
-        elif s.type == "ClassDeclaration" and s.klass.name:
-            names = [(s.klass.name, True)]
-        for name, lexical in names:
-            if name in seen and (lexical or seen[name]):
-                found.append(name)
-            seen[name] = seen.get(name, False) or lexical
-    return found
-
-
-def analyze_text(text: str) -> dict:
-    """ANALYSIS of one file, as plain values."""
-    empty = {k: [] for k in ("exports", "issues", "imports", "export_signatures", "symbols", "classes", "interfaces", "type_aliases", "comments", "jsdoc", "call_edges")}
+def analyze_text(text: str, parts: Iterable[str] = PARTS) -> dict:
+    """ANALYSIS of one file, as plain values; of the lists only the given ones. Whatever is wrong with a file is an issue of that file."""
+    wanted = set(parts)
     try:
         program, comments = parse(text, "tsx")
-    except JsSyntaxError as e:
-        return {"language": "tsx", **empty, "issues": [{"category": "parse", "severity": "error", "message": str(e), "line": None, "column": None}]}
-    walk = _Walk(text)
-    walk.visit(program)
-    scopes, stack = [program.body], [program]
-    while stack:
-        node = stack.pop()
-        if node.type == "Block":
-            scopes.append(node.body)
-        stack.extend(node.nodes())
-    semantic = [{"category": "semantic", "severity": "error", "message": f"Identifier `{n}` has already been declared", "line": None, "column": None} for body in scopes for n in redeclarations(body)]
+        walk = _Walk(text, wanted)
+        walk.visit(program)
+        semantic = redeclarations(program) if "issues" in wanted else []
+    except (JsSyntaxError, RecursionError) as e:
+        found = {p: [] for p in wanted}
+        if "issues" in wanted:
+            found["issues"] = [{"category": "parse", "severity": "error", "message": str(e), "line": None, "column": None}]
+        return {"language": "tsx", **found}
+    issues = [{"category": "semantic", "severity": "error", "message": f"Identifier `{n}` has already been declared", "line": None, "column": None} for n in semantic]
     exports, signatures = [], []
-    for s in program.body:
+    for s in program.body if wanted & {"exports", "export_signatures"} else ():
         for name, kind, signature in walk.exports_of(s):
             exports.append({"name": name, "kind": kind, **walk.where(s)})
             signatures.append(walk.symbol(s, name, signature, exported=True))
-    imports = [{"source": s.source, "kind": "import", "specifiers": list(s.names), "is_type_only": s.type_only, **walk.where(s)} for s in program.body if s.type == "Import"]
-    return {
-        "language": "tsx",
-        **empty,
+    imports = [{"source": s.source, "kind": "import", "specifiers": list(s.names), "is_type_only": s.type_only, **walk.where(s)} for s in program.body if s.type == "Import"] if "imports" in wanted else []
+    found = {
         "exports": exports,
-        "issues": semantic + walk.lints,
+        "issues": issues + walk.lints,
         "imports": imports,
         "export_signatures": signatures,
         "symbols": walk.symbols,
@@ -227,24 +231,27 @@ def analyze_text(text: str) -> dict:
         "interfaces": walk.interfaces,
         "type_aliases": walk.aliases,
         "comments": [text[a:b] for a, b in comments],
+        "jsdoc": [],
         "call_edges": walk.edges,
     }
+    return {"language": "tsx", **{p: found[p] for p in wanted}}
 
 
-def analysis_of(code: Column) -> Column:
-    """ANALYSIS of a code column, by one Arrow UDF."""
+def analysis_of(code: Column, parts: Iterable[str] = PARTS) -> Column:
+    """ANALYSIS of a code column, by one Arrow UDF. What isn't asked for isn't collected in Python nor sent to the JVM."""
+    parts = [p for p in PARTS if p in set(parts)]
+    kind = analysis_type(parts)
 
     def run(codes: pa.Array) -> pa.Array:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-        return pa.array([None if c is None else analyze_text(c) for c in codes.to_pylist()], _arrow(ANALYSIS))
+        return pa.array([None if c is None else analyze_text(c, parts) for c in codes.to_pylist()], _arrow(kind))
 
     # It is deterministic, but said not to be: else filters that Spark infers from an explode run it a second time, below shuffles.
-    return F.arrow_udf(run, ANALYSIS).asNondeterministic()(code)
+    return F.arrow_udf(run, kind).asNondeterministic()(code)
 
 
-def analyze(df: DataFrame, code: str = "code") -> DataFrame:
-    """df with analysis, one row a file."""
-    return df.withColumn("analysis", analysis_of(F.col(code)))
+def analyze(df: DataFrame, code: str = "code", parts: Iterable[str] = PARTS) -> DataFrame:
+    """df with analysis, one row a file; parts: the lists that are wanted."""
+    return df.withColumn("analysis", analysis_of(F.col(code), parts))
 
 
 def unnest(analyzed: DataFrame, part: str, key: str = "path") -> DataFrame:
@@ -270,8 +277,17 @@ def analyze_json(text: str) -> str:
     return json.dumps({"exports": a["exports"], "issues": a["issues"], "file_structure": structure}, ensure_ascii=False)
 
 
-def annotate_issues(df: DataFrame, code: str = "code", title: str = "Issues") -> DataFrame:
-    """df with annotated: the code with its issues as a comment at its end."""
-    from ..functions.text_ops import annotate
-
-    return analyze(df, code).withColumn("annotated", annotate(F.col(code), F.col("analysis.issues"), title))
+def annotate_issues(df: DataFrame, code: str = "code", title: str = "Issues", inject: bool = True, log: bool = False, name: str = "path") -> DataFrame:
+    """df with annotated: the code, with its issues as a comment at its end if `inject`. log adds the lines that a build would print about the file
+    (array of strings, empty without issues); files that aren't scripts by their name have none, and keep their code."""
+    from ..functions.text_ops import annotate, should_analyze
+
+    rows = analyze(df, code, ["issues"])
+    issues = F.when(should_analyze(F.col(name)), F.col("analysis.issues")).otherwise(F.array().cast(f"array<{ISSUE}>")) if name in df.columns else F.col("analysis.issues")
+    rows = rows.withColumn("annotated", annotate(F.col(code), issues, title) if inject else F.col(code))
+    if not log:
+        return rows
+    where = F.concat(F.lit(" in "), F.col(name)) if name in df.columns else F.lit("")
+    head = F.concat(F.lit("Found "), F.size(issues).cast("string"), F.lit(" issues"), where)
+    lines = F.concat(F.array(head), F.transform(issues, lambda i: F.concat(F.lit("  - "), i["message"])))
+    return rows.withColumn("log", F.when(F.size(issues) > 0, lines).otherwise(F.array().cast("array<string>")))

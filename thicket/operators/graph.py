@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text_ops import content_hash, import_candidates, normalize_path
-from .analyze import analysis_of, unnest
+from .analyze import PARTS, analysis_of, unnest
 
 FILE_SCHEMA = "path string, code string"
 
@@ -43,51 +46,66 @@ def find_symbols(analyzed: DataFrame, name: str | Column | None = None, kind: st
 
 
 class ProjectGraph:
-    """Immutable tables instead of locked maps: each add returns quickly and analysis runs when a query does."""
+    """Tables instead of locked maps: each add only notes what was added, and analysis runs when a query does."""
 
     def __init__(self, spark: SparkSession, files: DataFrame | None = None, mode: str = "cache"):
         self.spark, self.mode = spark, mode
-        self._files = latest_files(files) if files is not None else spark.createDataFrame([], FILE_SCHEMA + ", content_hash bigint")
+        self._tables: list[DataFrame] = [] if files is None else [latest_files(files)]
+        self._single: dict[str, tuple[int, str]] = {}  # files added one by one: path -> when, code
 
     def add_files(self, df: DataFrame) -> ProjectGraph:
         """Adds or replaces files (path, code), a row a path; equal content changes nothing."""
-        new = latest_files(df)
-        stays = self._files.join(new.select("path"), "path", "left_anti")
-        self._files = stays.unionByName(new)
+        if self._single:
+            self._tables.append(self._singles())
+            self._single = {}
+        self._tables.append(latest_files(df))
         return self
 
     def add_file(self, path: str, code: str) -> ProjectGraph:
-        return self.add_files(self.spark.createDataFrame([(path, code)], FILE_SCHEMA))
+        self._single[path] = (len(self._single), code)
+        return self
+
+    def _singles(self) -> DataFrame:
+        """The files added one by one, the latest of equal normalized paths."""
+        rows = [(path, code, n) for path, (n, code) in self._single.items()]
+        return latest_files(self.spark.createDataFrame(rows, FILE_SCHEMA + ", version int"), "version")
 
     def on_transform(self, path: str, code: str) -> ProjectGraph:
         """Build-time hook: adds the file in cache mode, nothing on demand."""
         return self.add_file(path, code) if self.mode == "cache" else self
 
     def clear(self) -> ProjectGraph:
-        self._files = self.spark.createDataFrame([], FILE_SCHEMA + ", content_hash bigint")
+        self._tables, self._single = [], {}
         return self
 
     @property
     def files(self) -> DataFrame:
-        return self._files
+        """path, code, content_hash. One aggregation over all that was added, however many the additions."""
+        tables = self._tables + ([self._singles()] if self._single else [])
+        if not tables:
+            return self.spark.createDataFrame([], FILE_SCHEMA + ", content_hash bigint")
+        if len(tables) == 1:
+            return tables[0]
+        numbered = [x.select("path", "code", F.lit(k).alias("version")) for k, x in enumerate(tables)]
+        return latest_files(reduce(DataFrame.unionByName, numbered), "version")
 
     def list_files(self) -> DataFrame:
-        return self._files.select("path").orderBy("path")
+        return self.files.select("path").orderBy("path")
 
-    def analyzed(self) -> DataFrame:
-        return self._files.withColumn("analysis", analysis_of(F.col("code")))
+    def analyzed(self, parts: Iterable[str] = PARTS) -> DataFrame:
+        return self.files.withColumn("analysis", analysis_of(F.col("code"), parts))
 
     def get_file_structure(self, path: str) -> DataFrame:
         wanted = normalize_path(F.lit(path))
-        return self._files.where(F.col("path") == wanted).withColumn("analysis", analysis_of(F.col("code"))).select("path", "analysis")
+        return self.files.where(F.col("path") == wanted).withColumn("analysis", analysis_of(F.col("code"))).select("path", "analysis")
 
     def get_symbol_details(self, name: str, kind: str | None = None) -> DataFrame:
-        return find_symbols(self.analyzed(), name, kind).orderBy("path", "seq")
+        return find_symbols(self.analyzed(["symbols", "export_signatures"]), name, kind).orderBy("path", "seq")
 
     def analyze_dependencies(self, paths: list[str]) -> DataFrame:
         """A row for each requested path, in order: path and its resolved imports (empty for unknown paths)."""
         asked = self.spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "__n int, requested string").withColumn("path", normalize_path(F.col("requested")))
-        found = resolve_dependencies(unnest(self.analyzed(), "imports"), self._files)
+        found = resolve_dependencies(unnest(self.analyzed(["imports"]), "imports"), self.files)
         lists = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "resolved_path", "source", "kind", "specifiers", "is_type_only", "line", "column"))).alias("dependencies"))
         joined = asked.join(lists, "path", "left").orderBy("__n")
         return joined.select("requested", F.coalesce("dependencies", F.array().cast(lists.schema["dependencies"].dataType)).alias("dependencies"))

@@ -7,6 +7,7 @@ It accepts somewhat more than the languages allow, but reports unbalanced, unter
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -69,6 +70,11 @@ PREFIX = frozenset("! ~ + - ++ -- typeof void delete await".split())
 MEMBER_MODIFIERS = frozenset("static public private protected readonly abstract override declare async get set accessor".split())
 
 
+#: Statements and expressions within each other; the interpreter's limit leaves room for a parser's frames at each.
+MAX_DEPTH = 1000
+FRAMES = 40 * MAX_DEPTH
+
+
 class Parser:
     """Recursive descent over one text. jsx and ts switch the grammar."""
 
@@ -78,6 +84,7 @@ class Parser:
         self.pos = self.end_of_last = 0
         self.depth = 0
         self.no_in = False
+        self.unannotated: set[int] = set()  # where a parenthesis can't begin an arrow function with a return type
         if text.startswith("#!"):
             self.pos = len(text.split("\n", 1)[0])
         self.advance()
@@ -185,7 +192,7 @@ class Parser:
 
     def statement(self) -> Node:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > MAX_DEPTH:
             self.fail("Nested too deeply")
         try:
             return self._statement()
@@ -709,7 +716,7 @@ class Parser:
 
     def assignment(self) -> Node:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > MAX_DEPTH:
             self.fail("Nested too deeply")
         try:
             return self._assignment()
@@ -772,23 +779,28 @@ class Parser:
 
     def is_arrow(self) -> bool:
         """At a parenthesis: whether an arrow follows its closing one (with a return type in between)."""
-        mark, comments = self.mark(), dict(self.comments)
+        mark = self.mark()
         try:
             if self.at("<"):
                 self.type_parameters()
             self.balanced()
             if self.at("=>"):
                 return not self.newline
-            if not (self.ts and self.at(":")):
+            if not (self.ts and self.at(":")) or mark[0] in self.unannotated:
                 return False
             self.annotation(predicate=True)
             return self.at("=>")
         except JsSyntaxError:
             return False
         finally:
-            self.comments = comments
+            self.forget_comments(mark[0])
             self.back(mark)
 
+    def forget_comments(self, start: int) -> None:
+        """Drops the comments found beyond start: what was read ahead is read again. They lie in the order of their starts."""
+        while self.comments and next(reversed(self.comments)) >= start:
+            self.comments.popitem()
+
     def is_generic_arrow(self) -> bool:
         if self.jsx and not re.match(r"<\s*(?:const\s+)?[\w$]+\s*(?:,|extends\b)", self.text[self.start :]):
             return False
@@ -825,12 +837,29 @@ class Parser:
             return test
         self.next()
         keep, self.no_in = self.no_in, False
-        then = self.assignment()
+        then = self.branch()
         self.no_in = keep
         self.expect(":")
         other = self.assignment()
         return Node("Conditional", start, self.end_of_last, test=test, then=then, other=other)
 
+    def branch(self) -> Node:
+        """What a conditional's question mark is followed by. In `a ? (b) : c => d` the colon is the conditional's, though (b): c => d is an arrow function, too."""
+        mark, depth = self.mark(), self.depth
+        if not self.ts or not self.at("("):
+            return self.assignment()
+        try:
+            found = self.assignment()
+            if self.at(":"):
+                return found
+        except JsSyntaxError:
+            pass
+        self.depth = depth
+        self.forget_comments(mark[0])
+        self.back(mark)
+        self.unannotated.add(mark[0])
+        return self.assignment()
+
     def binary(self, least: int) -> Node:
         start = self.start
         left = self.unary()
@@ -855,7 +884,7 @@ class Parser:
         if self.kind == "punct" and self.value in PREFIX or self.kind == "name" and self.value in PREFIX and not (self.value == "await" and self.peek()[1] in (")", ",", ";", ".", "=", "=>")):
             self.next()
             self.depth += 1
-            if self.depth > 150:
+            if self.depth > MAX_DEPTH:
                 self.fail("Nested too deeply")
             value = self.unary()
             self.depth -= 1
@@ -1212,7 +1241,7 @@ class Parser:
 
     def type_(self) -> Node:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > MAX_DEPTH:
             self.fail("Nested too deeply")
         start = self.start
         self.type_union()
@@ -1332,9 +1361,16 @@ LANGUAGES = {"js": (False, True), "jsx": (False, True), "javascript": (False, Tr
 def parse(text: str, language: str = "tsx") -> tuple[Node, list[tuple[int, int]]]:
     """The program and the spans of its comments in order. Raises JsSyntaxError."""
     ts, jsx = LANGUAGES[language]
-    parser = Parser(text, ts, jsx)
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
+    parser = None
     try:
+        parser = Parser(text, ts, jsx)
         program = parser.program()
+    except JsSyntaxError:
+        raise
     except RecursionError:
         raise JsSyntaxError("Nested too deeply", parser.start) from None
+    except Exception as e:  # a fault of the parser's is one file's fault, not the job's
+        raise JsSyntaxError(f"The parser failed: {type(e).__name__}: {e}", parser.start if parser else 0) from e
     return program, sorted(parser.comments.items())

@@ -48,17 +48,18 @@ def _match_row(m: Match) -> dict:
 def _node_rows(root: TreeNode) -> list[dict]:
     rows: list[dict] = []
     post = 0
-
-    def visit(node: TreeNode, parent: int | None, depth: int, ordinal: int) -> None:
-        nonlocal post
+    todo: list = [(root, None, 0, 0)]
+    while todo:
+        item = todo.pop()
+        if type(item) is int:  # all below that row is done
+            rows[item]["post"] = post
+            post += 1
+            continue
+        node, parent, depth, ordinal = item
         k = len(rows)
         rows.append({"node_id": k, "parent_id": parent, "depth": depth, "ordinal": ordinal, "variant": node.variant, "kind": node.kind, "text": node.text, "start": node.start, "end": node.end, "n_children": len(node.children)})
-        for i, child in enumerate(node.children):
-            visit(child, k, depth + 1, i)
-        rows[k]["post"] = post
-        post += 1
-
-    visit(root, None, 0, 0)
+        todo.append(k)
+        todo += [(child, k, depth + 1, i) for i, child in reversed(list(enumerate(node.children)))]
     return rows
 
 
@@ -71,7 +72,7 @@ def _per_text(make: Callable[[str], object], item: pa.DataType, returned: str, f
         for code in codes.to_pylist():
             try:
                 rows.append({field: None if code is None else make(code), "error": None})
-            except JsSyntaxError as e:
+            except (JsSyntaxError, RecursionError) as e:
                 if failfast:
                     raise SourceError(f"Rule evaluation failed: {e}") from None
                 rows.append({field: None, "error": str(e)})

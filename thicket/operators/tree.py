@@ -44,12 +44,15 @@ class TreeNode:
     def end(self) -> int:
         return self.source.byte(self.to)
 
-    def walk(self, depth: int = 0, above: tuple[TreeNode, ...] = ()):
+    def walk(self):
         """(node, ancestors from the root) in preorder."""
-        yield self, above
-        below = (*above, self)
-        for child in self.children:
-            yield from child.walk(depth + 1, below)
+        todo: list[tuple[TreeNode, tuple[TreeNode, ...]]] = [(self, ())]
+        while todo:
+            node, above = todo.pop()
+            yield node, above
+            if node.children:
+                below = (*above, node)
+                todo += [(child, below) for child in reversed(node.children)]
 
 
 def _inner(source: Source, node: js_parser.Node) -> list[TreeNode]:
@@ -90,12 +93,20 @@ def _statement(source: Source, node: js_parser.Node) -> TreeNode:
 
 
 def _expression(source: Source, node: js_parser.Node) -> TreeNode:
-    if node.type == "Identifier":
-        return TreeNode(source, "Expression", "Identifier", node, [], node.name)
-    if node.type == "Call":
-        parts = [_expression(source, x) for x in (node.callee, *node.args) if x.type != "Spread"]
-        return TreeNode(source, "Expression", "CallExpression", node, [TreeNode(source, "CallExpression", "CallExpression", node, parts)])
-    return TreeNode(source, "Expression", "MemberExpression" if node.type == "Member" else "Expression", node, [])
+    """Calls are wrapped in an expression node and have their callee and arguments as children; nothing else has any."""
+    top: list[TreeNode] = []
+    todo = [(node, top)]  # what is still to be made, and whose children it joins
+    while todo:
+        node, siblings = todo.pop()
+        if node.type == "Call":
+            call = TreeNode(source, "CallExpression", "CallExpression", node, [])
+            siblings.append(TreeNode(source, "Expression", "CallExpression", node, [call]))
+            todo += [(x, call.children) for x in reversed((node.callee, *node.args)) if x.type != "Spread"]
+        elif node.type == "Identifier":
+            siblings.append(TreeNode(source, "Expression", "Identifier", node, [], node.name))
+        else:
+            siblings.append(TreeNode(source, "Expression", "MemberExpression" if node.type == "Member" else "Expression", node, []))
+    return top[0]
 
 
 def shallow_tree(text: str, language: str = "tsx") -> TreeNode:

@@ -42,10 +42,17 @@ def text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all tasks before parsing: the tables are single files, adaptive execution would bring small shuffles into one task, and parsing
-    costs far more than moving such rows."""
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, if it has fewer splits than there are cores, which only a small one has. A larger scan is parsed where it is read."""
+    wanted = max(8, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else rows.repartition(wanted)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by the key that they are grouped and joined by next, in a number of parts that adaptive execution doesn't lower: parsing follows, which costs
+    far more than moving keys. No further shuffle is needed."""
+    spark = rows.sparkSession
+    return rows.repartition(max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 # -- containers and text -------------------------------------------------------------------------------------------------
@@ -61,7 +68,7 @@ def page_script_scan(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: each page's script block with its byte span, its var declarations, and the argument of track()."""
     pages = C.first_script(spread(t(spark, d, "pages").select("page_id", F.col("html").alias("code"))))
     rows = pages.select("page_id", F.col("script.content").alias("code"), F.col("script.start").alias("span_start"), F.col("script.end").alias("span_end"))
-    rows = rows.withColumn("analysis", A.analysis_of(F.col("code")))
+    rows = rows.withColumn("analysis", A.analysis_of(F.col("code"), ["issues"]))
     found = S.find_pattern(rows, "track($A);")
     hits = F.size(F.filter("analysis.issues", lambda i: i["category"] == "best-practices")).cast("long")
     return found.select("page_id", F.col("code").alias("script"), "span_start", "span_end", hits.alias("var_hits"), F.col("metavariables")["A"].alias("track_arg"))
@@ -134,11 +141,11 @@ def path_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def customer_files(spark: SparkSession, d: str) -> DataFrame:
     """A file for each customer: a debt is logged, other balances are sent; every third customer has a class."""
-    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    c = spread(t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"))
     k = F.col("c_custkey")
     first = F.when(F.col("c_acctbal") < 0, text("console.log(c", k, ");\n")).otherwise(text("const v", k, " = send(c", k, ", ", F.col("c_nationkey"), ");\n"))
     second = F.when(k % 3 == 0, text("class C", k, " { m() { return call(1); } }\n")).otherwise(F.lit("x = 1;\n"))
-    return spread(c.select("c_custkey", text("c/", k, ".ts").alias("path"), F.concat(first, second).alias("code")))
+    return c.select("c_custkey", text("c/", k, ".ts").alias("path"), F.concat(first, second).alias("code"))
 
 
 def _rule_counts(spark: SparkSession, d: str, rule: str) -> DataFrame:
@@ -196,23 +203,26 @@ def not_has_join(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS callee, '\"' || o_orderpriority || '\"' AS a, CAST(o_custkey AS VARCHAR) AS b FROM orders")
 def pattern_capture(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    files = t(spark, d, "orders").select("o_orderkey", text("const o_", k, ' = place("', F.col("o_orderpriority"), '", ', F.col("o_custkey"), ");").alias("code"))
-    found = S.find_pattern(spread(files), "const $X = place($A, $B);")
+    orders = spread(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"))
+    files = orders.select("o_orderkey", text("const o_", k, ' = place("', F.col("o_orderpriority"), '", ', F.col("o_custkey"), ");").alias("code"))
+    found = S.find_pattern(files, "const $X = place($A, $B);")
     m = F.col("metavariables")
     return found.select("o_orderkey", F.regexp_extract("text", r"o_(\d+)", 1).alias("callee"), m["A"].alias("a"), m["B"].alias("b"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS a FROM lineitem WHERE l_partkey = l_suppkey")
 def pattern_repeat_binding(spark: SparkSession, d: str) -> DataFrame:
-    files = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text("pair(", F.col("l_partkey"), ", ", F.col("l_suppkey"), ");").alias("code"))
-    return S.find_pattern(spread(files), "pair($A, $A);").select("l_orderkey", "l_linenumber", F.col("metavariables")["A"].alias("a"))
+    lines = spread(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    files = lines.select("l_orderkey", "l_linenumber", text("pair(", F.col("l_partkey"), ", ", F.col("l_suppkey"), ");").alias("code"))
+    return S.find_pattern(files, "pair($A, $A);").select("l_orderkey", "l_linenumber", F.col("metavariables")["A"].alias("a"))
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '' ORDER BY l_linenumber, l_partkey) AS args, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
 def multi_capture(spark: SparkSession, d: str) -> DataFrame:
-    lists = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("ls"))
+    lines = dealt(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("ls"))
     args = F.array_join(F.transform("ls", lambda x: x["l_partkey"].cast("string")), ", ")
-    found = S.find_pattern(spread(lists.select("l_orderkey", text("call(", args, ");").alias("code"))), "call($$$A);")
+    found = S.find_pattern(lists.select("l_orderkey", text("call(", args, ");").alias("code")), "call($$$A);")
     return found.select("l_orderkey", F.col("metavariables")["A"].alias("args"), F.size(F.col("multi")["A"]).cast("long").alias("n"))
 
 
@@ -220,7 +230,7 @@ def multi_capture(spark: SparkSession, d: str) -> DataFrame:
 def strictness(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     code = F.when(k % 2 == 0, F.lit("function sum(a, b) { return a + b; }")).otherwise(F.lit("function sum(a, /* b */ b) { return a + b; }"))
-    files = spread(t(spark, d, "customer").select("c_custkey", code.alias("code")))
+    files = spread(t(spark, d, "customer").select("c_custkey")).select("c_custkey", code.alias("code"))
     out = files
     for mode in ("cst", "ast", "signature"):
         one = S.find_pattern(files, "function sum(a, b) { return a + b; }", mode).select(F.col("c_custkey").alias("k"), F.lit(True).alias(mode)).distinct()
@@ -235,8 +245,9 @@ def _nested_spans(spark: SparkSession, d: str) -> DataFrame:
     """A file for each part: calls nested 1 to 4 deep; the spans of its call nodes."""
     depth = F.col("p_size") % 4 + 1
     code = text(F.repeat(F.lit("fn("), depth), F.col("p_partkey"), F.repeat(F.lit(")"), depth), ";")
-    files = t(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"), code.alias("code"))
-    return S.ast_nodes(spread(files), "ts").where("variant = 'CallExpression'").select("p_partkey", "start", "end")
+    parts = spread(t(spark, d, "part").select("p_partkey", "p_size"))
+    files = parts.select("p_partkey", F.col("p_partkey").cast("string").alias("path"), code.alias("code"))
+    return S.ast_nodes(files, "ts").where("variant = 'CallExpression'").select("p_partkey", "start", "end")
 
 
 @query("SELECT p_partkey, CAST(0 AS BIGINT) AS a, CAST(4 * (p_size % 4 + 1) + length(CAST(p_partkey AS VARCHAR)) AS BIGINT) AS b FROM part")
@@ -273,8 +284,9 @@ SELECT c_custkey, 'const t = wrap(' || c_custkey || ', a' || c_nationkey || 'b);
 def template_fix(spark: SparkSession, d: str) -> DataFrame:
     """Several captured nodes are put in without separator; unbound placeholders stay."""
     rule = "id: t\nlanguage: ts\nrule: {pattern: 'const t = f($A, $$$B);'}\nfix: 'const t = wrap($A, $$$B);  // $C'\n"
-    files = t(spark, d, "customer").select("c_custkey", text("const t = f(", F.col("c_custkey"), ", a", F.col("c_nationkey"), ", b);").alias("code"))
-    return S.rewrites(spread(files), rule).select("c_custkey", "updated")
+    customers = spread(t(spark, d, "customer").select("c_custkey", "c_nationkey"))
+    files = customers.select("c_custkey", text("const t = f(", F.col("c_custkey"), ", a", F.col("c_nationkey"), ", b);").alias("code"))
+    return S.rewrites(files, rule).select("c_custkey", "updated")
 
 
 @query("SELECT o_orderkey, 'keep' || o_orderkey || '();' || chr(10) AS updated FROM orders")
@@ -320,12 +332,12 @@ def scan_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def order_modules(spark: SparkSession, d: str) -> DataFrame:
     """A module for each order: a function that calls ship() once for each line, a var and a console call in some."""
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines = dealt(t(spark, d, "lineitem").select("l_orderkey"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = dealt(t(spark, d, "orders").select("o_orderkey"), "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k = F.col("o_orderkey")
     body = F.concat(F.repeat(text("  ship.item(", k, ");\n"), F.coalesce(F.col("n"), F.lit(0)).cast("int")), F.when(k % 5 == 0, "  console.log(1);\n").otherwise(""))
     code = F.concat(text("export function order", k, "(a: string, b): void {\n"), body, F.lit("}\n"), F.when(k % 7 == 0, text("var v", k, " = 1;\n")).otherwise(""))
-    return spread(o.select("o_orderkey", text("o/", k, ".ts").alias("path"), code.alias("code")))
+    return o.select("o_orderkey", text("o/", k, ".ts").alias("path"), code.alias("code"))
 
 
 @query("""
@@ -333,25 +345,25 @@ SELECT 'order' || o_orderkey AS caller, callee, CAST(n AS BIGINT) AS n FROM (
   SELECT o_orderkey, 'ship.item' AS callee, count(l_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
   UNION ALL SELECT o_orderkey, 'console.log', 1 FROM orders WHERE o_orderkey % 5 = 0)""")
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = A.unnest(A.analyze(order_modules(spark, d)), "call_edges")
+    edges = A.unnest(A.analyze(order_modules(spark, d), parts=["call_edges"]), "call_edges")
     return edges.groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'o/' || o_orderkey || '.ts' AS path, CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END + 3 AS BIGINT) AS line, CAST(0 AS BIGINT) AS col FROM orders WHERE o_orderkey % 7 = 0")
 def lint_var(spark: SparkSession, d: str) -> DataFrame:
-    issues = A.unnest(A.analyze(order_modules(spark, d)), "issues").where("category = 'best-practices'")
+    issues = A.unnest(A.analyze(order_modules(spark, d), parts=["issues"]), "issues").where("category = 'best-practices'")
     return issues.select("path", "line", F.col("column").alias("col"))
 
 
 @query("SELECT 'o/' || o_orderkey || '.ts' AS path, 'warning' AS severity, CAST(2 AS BIGINT) AS col FROM orders WHERE o_orderkey % 5 = 0")
 def lint_console(spark: SparkSession, d: str) -> DataFrame:
-    issues = A.unnest(A.analyze(order_modules(spark, d)), "issues").where("category = 'dev-code'")
+    issues = A.unnest(A.analyze(order_modules(spark, d), parts=["issues"]), "issues").where("category = 'dev-code'")
     return issues.select("path", "severity", F.col("column").alias("col"))
 
 
 @query("SELECT 'order' || o_orderkey AS name, 'function' AS kind, 'a,b' AS params, ': void' AS return_type, CAST(1 AS BIGINT) AS line, CAST(7 AS BIGINT) AS col FROM orders")
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    found = A.unnest(A.analyze(order_modules(spark, d)), "symbols")
+    found = A.unnest(A.analyze(order_modules(spark, d), parts=["symbols"]), "symbols")
     return found.select("name", "kind", F.array_join("params", ",").alias("params"), "return_type", "line", F.col("column").alias("col"))
 
 
@@ -370,21 +382,21 @@ def nation_modules(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'src/nation/' || n_nationkey || '.ts' AS path, name, kind, CAST(line AS BIGINT) AS line FROM nation, LATERAL (VALUES ('nation' || n_nationkey, 'variable', 3), ('other', 'variable', 3), ('N' || n_nationkey, 'class', 4), ('I' || n_nationkey, 'interface', 5), ('T', 'value', 6), ('*', 'value', 7)) AS v(name, kind, line)
 UNION ALL SELECT CASE WHEN r_regionkey % 2 = 1 THEN 'src/region/' || r_regionkey || '/index.ts' ELSE 'src/region/' || r_regionkey || '.ts' END, name, kind, line FROM region, (VALUES ('name', 'variable', 1), ('default', 'function', 2)) AS v(name, kind, line)""")
 def exports(spark: SparkSession, d: str) -> DataFrame:
-    return A.unnest(A.analyze(nation_modules(spark, d)), "exports").select("path", "name", "kind", "line")
+    return A.unnest(A.analyze(nation_modules(spark, d), parts=["exports"]), "exports").select("path", "name", "kind", "line")
 
 
 @query("""
 SELECT 'src/nation/' || n_nationkey || '.ts' AS path, '../region/' || n_regionkey AS source, 'R,n' || n_nationkey AS names, false AS is_type_only FROM nation
 UNION ALL SELECT 'src/nation/' || n_nationkey || '.ts', 'lib', 'T', true FROM nation""")
 def imports(spark: SparkSession, d: str) -> DataFrame:
-    found = A.unnest(A.analyze(nation_modules(spark, d)), "imports")
+    found = A.unnest(A.analyze(nation_modules(spark, d), parts=["imports"]), "imports")
     return found.select("path", "source", F.array_join("specifiers", ",").alias("names"), "is_type_only")
 
 
 @query("SELECT 'src/nation/' || n_nationkey || '.ts' AS path, '../region/' || n_regionkey AS source, CASE WHEN n_regionkey % 2 = 1 THEN 'src/region/' || n_regionkey || '/index.ts' ELSE 'src/region/' || n_regionkey || '.ts' END AS resolved_path FROM nation")
 def resolve_dependencies(spark: SparkSession, d: str) -> DataFrame:
     files = G.latest_files(nation_modules(spark, d))
-    found = G.resolve_dependencies(A.unnest(A.analyze(files), "imports"), files)
+    found = G.resolve_dependencies(A.unnest(A.analyze(files, parts=["imports"]), "imports"), files)
     return found.select("path", "source", "resolved_path")
 
 
@@ -393,7 +405,7 @@ SELECT 'src/nation/' || n_nationkey || '.ts' AS path, name, kind FROM nation, LA
 UNION ALL SELECT CASE WHEN r_regionkey % 2 = 1 THEN 'src/region/' || r_regionkey || '/index.ts' ELSE 'src/region/' || r_regionkey || '.ts' END, name, kind FROM region, (VALUES ('<anonymous@2>', 'function'), ('name', 'variable'), ('default', 'function')) AS v(name, kind)""")
 def find_symbol(spark: SparkSession, d: str) -> DataFrame:
     """All symbols with the exports that add to them. A method's function value is a symbol of its own."""
-    return G.find_symbols(A.analyze(G.latest_files(nation_modules(spark, d)))).select("path", "name", "kind")
+    return G.find_symbols(A.analyze(G.latest_files(nation_modules(spark, d)), parts=["symbols", "export_signatures"])).select("path", "name", "kind")
 
 
 @query("SELECT text_md5, CAST(n AS BIGINT) AS n, first_id FROM (SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY md5(text))")
@@ -415,16 +427,16 @@ def latest_upsert(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'var x = ' || o_orderkey || ';' || chr(10) || '/* Issues:' || chr(10) || ' * - Avoid using ''var''. Use ''const'' or ''let'' instead.' || chr(10) || ' */' ELSE 'let x = ' || o_orderkey || ';' END AS annotated FROM orders""")
 def annotate_issues(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    files = t(spark, d, "orders").select("o_orderkey", F.concat(F.when(k % 3 == 0, "var").otherwise("let"), text(" x = ", k, ";")).alias("code"))
-    return A.annotate_issues(spread(files)).select("o_orderkey", "annotated")
+    files = spread(t(spark, d, "orders").select("o_orderkey")).select("o_orderkey", F.concat(F.when(k % 3 == 0, "var").otherwise("let"), text(" x = ", k, ";")).alias("code"))
+    return A.annotate_issues(files).select("o_orderkey", "annotated")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'error' ELSE 'ok' END AS status FROM customer")
 def permissive_errors(spark: SparkSession, d: str) -> DataFrame:
     """A file that can't be parsed has an error of its own and stops nothing."""
     code = F.when(F.col("c_custkey") % 4 == 0, "let = (;").otherwise("f(1);")
-    files = t(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("path"), code.alias("code"))
-    found = S.scan(spread(files), "id: k\nlanguage: ts\nrule: {kind: CallExpression}", mode="permissive").join(files.select("c_custkey", "path"), "path")
+    files = spread(t(spark, d, "customer").select("c_custkey")).select("c_custkey", F.col("c_custkey").cast("string").alias("path"), code.alias("code"))
+    found = S.scan(files, "id: k\nlanguage: ts\nrule: {kind: CallExpression}", mode="permissive").join(files.select("c_custkey", "path"), "path")
     return found.select("c_custkey", F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("status"))
 
 

@@ -48,24 +48,20 @@ def script_tags(text: Column) -> Column:
 
 def block_presence(df: DataFrame, text: str = "code") -> DataFrame:
     """Adds has_script, has_script_setup, has_template, has_style."""
-    blocks = F.regexp_extract_all(F.col(text), F.lit(_BLOCK_PARTS), F.lit(1))
-    tagged = df.withColumn("__tags", F.array_join(blocks, "\x00"))
-    setup = setup_tags(F.col("__tags"))
-    n = F.size(blocks)
-    return (
-        tagged.withColumn("__setup", setup)
-        .withColumns({"has_script": n > F.col("__setup"), "has_script_setup": F.col("__setup") > 0, "has_template": has_block(F.col(text), "template"), "has_style": has_block(F.col(text), "style")})
-        .drop("__tags", "__setup")
-    )
+    tags = F.regexp_extract_all(F.col(text), F.lit(_BLOCK_PARTS), F.lit(1))
+    tagged = df.withColumns({"__n": F.size(tags), "__setup": setup_tags(tags)})
+    n, setup = F.col("__n"), F.col("__setup")
+    blocks = {"has_template": has_block(F.col(text), "template"), "has_style": has_block(F.col(text), "style")}
+    return tagged.withColumns({"has_script": n > setup, "has_script_setup": setup > 0, **blocks}).drop("__n", "__setup")
 
 
-def setup_tags(joined: Column) -> Column:
-    """How many of the tags, joined by NUL, have the setup attribute."""
+def setup_tags(tags: Column) -> Column:
+    """How many of an array of tags have the setup attribute."""
 
     def count(rows: pa.Array) -> pa.Array:
-        return pa.array([sum(has_attribute(t, "setup") for t in (row or "").split("\0") if t) for row in rows.to_pylist()], pa.int32())
+        return pa.array([sum(has_attribute(t, "setup") for t in row or ()) for row in rows.to_pylist()], pa.int32())
 
-    return F.arrow_udf(count, T.IntegerType())(joined)
+    return F.arrow_udf(count, T.IntegerType())(tags)
 
 
 def script_blocks(df: DataFrame, text: str = "code") -> DataFrame:
@@ -73,7 +69,7 @@ def script_blocks(df: DataFrame, text: str = "code") -> DataFrame:
     code = F.col(text)
     whole, tags, contents = (F.regexp_extract_all(code, F.lit(_BLOCK_PARTS), F.lit(k)) for k in (0, 1, 2))
     # what lies between blocks: everything before block k is k gaps and k blocks
-    gaps = F.split(F.regexp_replace(code, _BLOCK_PARTS, "\x00"), "\x00")
+    gaps = F.split(code, _BLOCK_PARTS, -1)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
     size = lambda x: F.octet_length(x).cast("long")
     steps = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(size(g).alias("g"), size(w).alias("w"))), tags, lambda s, t: F.struct(s["g"].alias("g"), s["w"].alias("w"), size(t).alias("t")))

@@ -18,13 +18,17 @@ def parse_extensions(value: str | None) -> list[str]:
 
 
 def read_files(spark: SparkSession, root: str, extensions: str | None = None, permissive: bool = False) -> DataFrame:
-    """Every file below root with one of the extensions, a row each: path, code. permissive skips files that vanish or can't be read."""
+    """Every file below root with one of the extensions, a row each: path, code. A file that isn't UTF-8 is an error; permissive skips such files,
+    and those that vanish or can't be read."""
     wanted = parse_extensions(extensions)
     reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(wanted) + "}")
     if permissive:
         reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/")
-    return reader.load(root).select(path.alias("path"), F.col("value").alias("code"))
+    files = reader.load(root)
+    if permissive:
+        return files.where(F.is_valid_utf8("value")).select(path.alias("path"), F.col("value").alias("code"))
+    return files.select(path.alias("path"), F.validate_utf8("value").alias("code"))
 
 
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
