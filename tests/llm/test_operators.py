@@ -83,7 +83,7 @@ def test_node_classifier_on_pages_it_has_not_seen():
         for k, p in enumerate(a["parent"].tolist()):
             if label[k] < 0 and p >= 0 and label[p] >= 0:
                 label[k] = label[p]
-        kept = html_extract.decode(a, model.logits(html_extract.features(a)))
+        kept = html_extract.decode(a, model.logits(a))
         assert all(kept[p] for k, p in enumerate(a["parent"]) if p >= 0 and kept[k])
         for node, text in forest.runs:
             if node >= 0 and text and text.strip():
@@ -103,7 +103,7 @@ def test_decoding_is_the_best_consistent_labelling():
         depth = [0] * n
         for k in range(1, n):
             depth[k] = depth[parent[k]] + 1
-        a = {"parent": np.array(parent), "depth": np.array(depth), "end": html_extract.subtree_ends(np.array(depth), None)}
+        a = {"parent": np.array(parent), "depth": np.array(depth), "end": html_extract.subtree_ends(np.array(depth))}
         z = rng.normal(0, 2, n)
         gain = lambda keep: sum(-np.log1p(np.exp(-z[k])) if keep[k] else -np.log1p(np.exp(z[k])) for k in range(n))  # noqa: B023, E731
         best = max(gain(keep) for bits in range(1 << n) if (keep := [bits >> k & 1 for k in range(n)])[0] and all(keep[parent[k]] or not keep[k] for k in range(1, n)))

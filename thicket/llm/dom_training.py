@@ -20,9 +20,13 @@ NAMES = {
 }
 
 
+#: How often a name says nothing: a word of the site's own.
+STRANGE = 0.1
+
+
 class PageMaker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, names: dict[str, list[str]] = NAMES, strange: float = STRANGE):
+        self.r, self.names, self.strange = random.Random(seed), names, strange
 
     def word(self) -> str:
         return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -46,15 +50,16 @@ class PageMaker:
     def attrs(self, kind: str, often: float = 0.85) -> str:
         if self.r.random() > often:
             return ""
-        name = self.r.choice(NAMES[kind])
+        name = self.word() if self.r.random() < self.strange else self.r.choice(self.names[kind])
         name = self.r.choice([name, name, f"{name} {self.word()}", f"{self.word()}-{name}", name.title().replace("-", "")])
-        return f' {self.r.choice(["class", "class", "id"])}="{name}"'
+        unseen = self.r.choice([" hidden", ' style="display: none"', ' aria-hidden="true"']) if kind in ("notice", "nav", "ad") and self.r.random() < 0.08 else ""
+        return f' {self.r.choice(["class", "class", "id"])}="{name}"{unseen}'
 
     def tag(self, tag: str, inner: str, attrs: str = "", y: int | None = None) -> str:
         return f"<{tag}{attrs}{'' if y is None else f' data-y={y}'}>{inner}</{tag}>"
 
     def link(self) -> str:
-        return f'<a href="/{self.word()}">{self.words(1, 3)}</a>'
+        return f'<a href="/{self.word()}">{self.words(1, 3)}{self.r.choice(["", "", "", ".", ",", "!"])}</a>'
 
     def links(self, tag: str = "li") -> str:
         return "".join(self.tag(tag, self.link()) for _ in range(self.r.randint(2, 9)))
@@ -103,7 +108,7 @@ class PageMaker:
     def block(self) -> str:
         k = self.r.random()
         if k < 0.68:
-            return self.tag("p", self.inline(self.prose(1, 9)), self.r.choice(["", "", "", f' class="{self.word()}"']), 1)
+            return self.tag("p", self.inline(self.prose(1, 9) if self.r.random() < 0.8 else self.words(1, 4).capitalize() + "."), self.r.choice(["", "", "", f' class="{self.word()}"']), 1)
         if k < 0.76:
             return self.tag(self.r.choice(["ul", "ol"]), "".join(self.tag("li", self.inline(self.prose(1, 2))) for _ in range(self.r.randint(2, 6))), "", 1)
         if k < 0.81:
@@ -131,10 +136,15 @@ class PageMaker:
         inner = title + "".join(blocks)
         if self.r.random() < 0.12:
             inner += self.comments()
+        if self.r.random() < 0.15:  # nothing around the article
+            return inner
         tag = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
         return self.tag(tag, inner, self.attrs("content", 0.35 if tag in ("article", "main") else 0.85))
 
     def page(self) -> str:
+        if self.r.random() < 0.08:  # nothing but text
+            text = "".join(self.block() for _ in range(self.r.randint(1, 6)))
+            return f"<html><head><title>{self.words(2, 6)}</title></head>{self.r.choice([text, self.tag('body', text)])}</html>"
         parts = [self.content()]
         if self.r.random() < 0.3:
             parts = [self.tag(self.r.choice(["main", "div"]), parts[0] + (self.comments() if self.r.random() < 0.3 else "") + (self.aside() if self.r.random() < 0.3 else ""), self.r.choice(["", ' class="wrapper"', ' id="container"', ' class="row"']))]
@@ -151,6 +161,6 @@ class PageMaker:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
-def labelled_pages(n: int, seed: int = 1) -> list[str]:
+def labelled_pages(n: int, seed: int = 1, names: dict[str, list[str]] = NAMES, strange: float = STRANGE) -> list[str]:
     """Pages in which data-y=1 marks an element of the article, data-y=0 one that isn't; elements inside inherit."""
-    return [PageMaker(seed * 100_000 + k).page() for k in range(n)]
+    return [PageMaker(seed * 100_000 + k, names, strange).page() for k in range(n)]

@@ -2,6 +2,8 @@
 
 A page becomes a tree of nodes: block elements, and inline elements that have a class, id or role. Each node has features of its tag, the tokens of its
 attributes and its ancestors', the density of text, links and tags in its subtree, its depth, its place in the page and statistics of its siblings.
+Attribute tokens are words and character 4-grams of classes, ids and roles, hashed into `TOKEN_BUCKETS`; how far each speaks for the article is counted on other
+training pages than those the trees learn from, so a name that was never seen still speaks by its parts, and a strange one says nothing.
 Boosted trees, trained on the driver from pages made by rule (dom_training), give the probability that a node holds part of the article.
 Decoding picks the likeliest labelling in which a node is kept only if its parent is, by one pass up and one pass down the tree; so no
 text is kept inside a dropped element. A page of which nothing would be kept is decoded once more with all odds raised by `SECOND_CHANCE`.
@@ -9,7 +11,8 @@ text is kept inside a dropped element. A page of which nothing would be kept is
 The kept nodes' text, in page order, is cut into blocks at block elements' tags. Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed, empty ones dropped, and the rest joined by a blank line.
 
-Scripts, styles, templates, head, comments and other unrendered elements are dropped by the parser. Defined cases: null or empty html has the text ''. Text without any
+Scripts, styles, templates, head, buttons, comments and other elements that are no text are dropped by the parser. A head that isn't closed ends before the first tag
+or text that can't be in it; a script, style, title or textarea that isn't closed ends at the next block element's tag, another such element is read as if it were none. Defined cases: null or empty html has the text ''. Text without any
 element, or with unclosed, crossed or unknown tags, is read as browsers do in the common cases (p, li, td and the like close themselves).
 Extra columns are carried along unless named like a result. Repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -18,7 +21,9 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fields, pack, table, unpack
-from .dom_training import NAMES, labelled_pages
+from .dom_training import labelled_pages
 
-TRAIN_PAGES, TREES, TREE_DEPTH, BINS = 700, 50, 4, 32
+TRAIN_PAGES, TREES, TREE_DEPTH, BINS = 1200, 60, 5, 32
+#: Pages on which tokens are counted, and buckets they are hashed into.
+TOKEN_PAGES, TOKEN_BUCKETS = 600, 1 << 14
 #: Log-odds added to all nodes of a page of which nothing would be kept.
 SECOND_CHANCE = 1.5
 #: Characters of html parsed before the nodes are classified together.
@@ -38,7 +45,10 @@ JOB = 4 << 20
 # Fixed values of the HTML language.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title noframes noembed xmp".split())
+RAW = frozenset("script style noscript template svg iframe object canvas audio video textarea select datalist button title noframes noembed xmp annotation annotation-xml".split())
+#: What is plain text up to its end tag, and what a head may hold.
+PLAIN = frozenset("script style textarea title xmp noframes noembed".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes an open element of these, looked for up to the barriers.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
@@ -51,35 +61,54 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y|hidden|aria-hidden|style)
 TAG_GROUPS = [("nav", "menu"), ("header",), ("footer",), ("aside",), ("article", "main"), ("section",), ("div", "center"), ("p",), tuple(sorted(HEADINGS)), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("form", "fieldset", "legend", "search"), ("figure", "figcaption"), ("blockquote", "pre"), ("html", "body"), ("dialog", "details", "summary")]
 GROUP_OF = {t: k for k, g in enumerate(TAG_GROUPS) for t in g}
 OTHER = len(TAG_GROUPS)
-_KINDS = list(NAMES)
-_TOKEN_BITS: dict[str, int] = {}
-for _k, _kind in enumerate(_KINDS):
-    for _name in NAMES[_kind]:
-        _TOKEN_BITS[_name.replace("-", "")] = _TOKEN_BITS.get(_name.replace("-", ""), 0) | 1 << _k
-for _name, _kind in (("alertdialog", "notice"), ("contentinfo", "footer"), ("complementary", "aside"), ("banner", "header"), ("search", "nav"), ("form", "notice"), ("sitemap", "nav"), ("hidden", "notice"), ("ads", "ad"), ("sponsoring", "ad"), ("feedback", "comment"), ("author", "share")):
-    _TOKEN_BITS.setdefault(_name, 1 << _KINDS.index(_kind))
-_bits_cache: dict[str, int] = {}
-
-
-def attribute_bits(value: str) -> int:
-    """Which kinds of names the words of a class, id or role belong to."""
-    found = _bits_cache.get(value)
-    if found is None:
-        found = 0
-        for name in value.split():
-            parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)]
-            for p in {*parts, "".join(parts), *map("".join, zip(parts, parts[1:]))}:
-                found |= _TOKEN_BITS.get(p, _TOKEN_BITS.get(p.rstrip("s"), 0))
-        if len(_bits_cache) < 100_000:
-            _bits_cache[value] = found
-    return found
+_END_OF_PLAIN = re.compile(r"</?(?:" + "|".join(sorted(BLOCK | {"head"}, key=len, reverse=True)) + r")[\s/>]", re.I)
+
+
+def tokens_of(value: str) -> list[int]:
+    """The buckets of the words of a class, id or role, of neighbouring ones joined, and of the words' character 4-grams."""
+    found = set()
+    for name in value.split():
+        parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)]
+        found |= {*parts, *map("".join, zip(parts, parts[1:]))}
+        for p in parts:
+            found |= {f"^{p}$"[k : k + 4] + "*" for k in range(len(p) - 1)}
+    return sorted({zlib.crc32(t.encode()) % TOKEN_BUCKETS for t in found})
+
+
+@dataclass
+class TokenScores:
+    """What attribute tokens say: log-odds of being part of the article, by bucket; 0 for what was never seen."""
+
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(TOKEN_BUCKETS))
+    seen: dict[str, float] = field(default_factory=dict, repr=False)
+
+    @classmethod
+    def fit(cls, attributes: list[str], y: np.ndarray, smooth: float = 2.0) -> TokenScores:
+        counts = np.zeros((2, TOKEN_BUCKETS))
+        for value, label in zip(attributes, y.astype(int).tolist()):
+            if value:
+                counts[label, tokens_of(value)] += 1
+        rate = (counts + smooth) / (counts.sum(1, keepdims=True) + smooth * TOKEN_BUCKETS) * counts.sum(1, keepdims=True).max()
+        some = counts.sum(0) > 0
+        return cls(np.where(some, np.log(rate[1]) - np.log(rate[0]), 0.0))
+
+    def score(self, value: str) -> float:
+        """The mean over the tokens that say anything."""
+        found = self.seen.get(value)
+        if found is None:
+            w = self.weights[tokens_of(value)]
+            w = w[w != 0]
+            found = float(w.mean()) if len(w) else 0.0
+            if len(self.seen) < 100_000:
+                self.seen[value] = found
+        return found
 
 
 class Forest:
     """Nodes of many pages in document order, as parallel lists."""
 
     def __init__(self):
-        self.parent, self.group, self.bits, self.depth, self.last, self.label = [], [], [], [], [], []
+        self.parent, self.group, self.hidden, self.depth, self.label, self.attributes = [], [], [], [], [], []
         self.tags, self.text, self.linked, self.stops, self.page = [], [], [], [], []
         self.runs: list[tuple[int, str | None]] = []  # (node, text), or (-1, None) where a block ends
         self.first_run: list[int] = []
@@ -89,14 +118,16 @@ class Forest:
         self.first_run.append(len(self.runs))
         open_tags: list[tuple[str, int]] = []  # every open element and the node it makes or lies in
         root = self._node(-1, "html", "", number)
-        node, links, at = root, 0, 0
+        node, links, at, in_head = root, 0, 0, False
         end_of_text = len(source)
         find, runs = MARKUP.search, self.runs
         while at < end_of_text:
             m = find(source, at)
             stop = m.start() if m else end_of_text
             if stop > at:
-                self._text(node, source[at:stop], links)
+                in_head = in_head and source[at:stop].isspace()
+                if not in_head:
+                    self._text(node, source[at:stop], links)
             if not m:
                 break
             at = m.end()
@@ -104,6 +135,10 @@ class Forest:
             if not tag:
                 continue
             tag = tag.lower()
+            if tag == "head":
+                in_head = not m[1]
+                continue
+            in_head = in_head and tag in IN_HEAD
             if m[1]:
                 for k in range(len(open_tags) - 1, -1, -1):
                     name, inside = open_tags[k]
@@ -117,10 +152,16 @@ class Forest:
                     if name in BLOCK and tag not in BLOCK:
                         break
                 continue
-            if tag in RAW or tag == "head":
-                if not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body" if tag == "head" else ""), re.I).search(source, at)
-                    at = end_of_text if not close else close.start() if close[0][1] != "/" else close.end()
+            if tag in RAW and not m[3].endswith("/"):
+                close = _end_tag(tag).search(source, at)
+                if close:
+                    at = close.end()
+                    continue
+                if tag in PLAIN:  # never closed: up to the next block, if there is one
+                    close = _END_OF_PLAIN.search(source, at)
+                    at = close.start() if close else end_of_text
+                    continue
+            elif tag in RAW:
                 continue
             if tag in VOID:
                 if tag in ("br", "wbr"):
@@ -161,18 +202,21 @@ class Forest:
                     break
 
     def _node(self, parent: int, tag: str, attrs: str, page: int) -> int:
-        n, bits, label = len(self.parent), 0, -1
+        n, hidden, label, names = len(self.parent), False, -1, []
         for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
             value, name = "".join(values), name.lower()
-            if name in ("class", "id", "role"):
-                bits |= attribute_bits(value)
+            if name in ("class", "id"):
+                names.append(value)
+            elif name == "role":
+                names.append("role" + value.capitalize() if value.isalpha() else value)
             elif name == "data-y":
                 label = int(value)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                bits |= 1 << _KINDS.index("notice")
+                hidden = True
         self.parent.append(parent)
         self.group.append(GROUP_OF.get(tag, OTHER))
-        self.bits.append(bits)
+        self.hidden.append(hidden)
+        self.attributes.append(" ".join(names))
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.label.append(label)
         self.tags.append(1)
@@ -193,12 +237,18 @@ class Forest:
             self.linked[node] += n
 
     def arrays(self) -> dict[str, np.ndarray]:
-        out = {k: np.array(getattr(self, k), np.int64) for k in ("parent", "group", "bits", "depth", "label", "tags", "text", "linked", "stops", "page")}
-        out["end"] = subtree_ends(out["depth"], out["page"])
+        out = {k: np.array(getattr(self, k), np.int64) for k in ("parent", "group", "hidden", "depth", "label", "tags", "text", "linked", "stops", "page")}
+        out["end"] = subtree_ends(out["depth"])
+        out["attributes"] = self.attributes
         return out
 
 
-def subtree_ends(depth: np.ndarray, page: np.ndarray) -> np.ndarray:
+@lru_cache(None)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def subtree_ends(depth: np.ndarray) -> np.ndarray:
     """For nodes in document order, where each one's subtree ends: at the next node that isn't deeper."""
     n = len(depth)
     end, open_nodes, depths = np.full(n, n, np.int64), [], depth.tolist()
@@ -209,7 +259,7 @@ def subtree_ends(depth: np.ndarray, page: np.ndarray) -> np.ndarray:
     return end
 
 
-def features(a: dict[str, np.ndarray]) -> np.ndarray:
+def features(a: dict, scores: TokenScores) -> np.ndarray:
     """A row of features for each node."""
     n, parent, end = len(a["parent"]), a["parent"], a["end"]
     at, up = np.arange(n), np.maximum(parent, 0)
@@ -222,11 +272,15 @@ def features(a: dict[str, np.ndarray]) -> np.ndarray:
     text, linked, tags, stops = (subtree(a[k]) for k in ("text", "linked", "tags", "stops"))
     paragraphs, headings = subtree(a["group"] == GROUP_OF["p"]), subtree(a["group"] == GROUP_OF["h1"])
     # what ancestors are: a node comes after its parent, so level by level from the top
-    above_bits, above_groups = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    own = np.array([scores.score(v) if v else 0.0 for v in a["attributes"]])
+    named = np.array([bool(v) for v in a["attributes"]], np.int64)
+    above_least, above_sum, above_hidden, above_groups = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for d in range(1, int(a["depth"].max(initial=0)) + 1):
         rows = np.flatnonzero(a["depth"] == d)
         p = parent[rows]
-        above_bits[rows] = above_bits[p] | a["bits"][p]
+        above_least[rows] = np.minimum(above_least[p], own[p])
+        above_sum[rows] = above_sum[p] + own[p]
+        above_hidden[rows] = above_hidden[p] | a["hidden"][p]
         above_groups[rows] = above_groups[p] | np.left_shift(1, a["group"][p])
     root_of = np.flatnonzero(top)[np.cumsum(top) - 1] if n else at
     text_before = np.r_[0, np.cumsum(a["text"])][at] - np.r_[0, np.cumsum(a["text"])][root_of]
@@ -244,8 +298,12 @@ def features(a: dict[str, np.ndarray]) -> np.ndarray:
     mean_sibling = np.bincount(up[child], text[child], n)[up] / np.maximum(1, siblings)
     columns = [
         *(a["group"] == k for k in range(OTHER + 1)),
-        *((a["bits"] >> k) & 1 for k in range(len(_KINDS))),
-        *((above_bits >> k) & 1 for k in range(len(_KINDS))),
+        own,
+        named,
+        a["hidden"],
+        above_least,
+        above_sum,
+        above_hidden,
         *((above_groups >> k) & 1 for k in (0, 1, 2, 3, 4, 12, 16)),
         a["depth"],
         np.log1p(text),
@@ -317,10 +375,19 @@ class Boosted:
         return z
 
 
-@lru_cache(1)
-def trained_model(pages: int = TRAIN_PAGES) -> Boosted:
+@dataclass
+class Model:
+    scores: TokenScores
+    trees: Boosted
+
+    def logits(self, a: dict) -> np.ndarray:
+        return self.trees.logits(features(a, self.scores))
+
+
+def _learnt(pages: list[str]) -> tuple[dict, np.ndarray]:
+    """Nodes of labelled pages, and which belong to the article."""
     forest = Forest()
-    for page in labelled_pages(pages):
+    for page in pages:
         forest.add_page(page)
     a = forest.arrays()
     label = a["label"].tolist()
@@ -331,10 +398,23 @@ def trained_model(pages: int = TRAIN_PAGES) -> Boosted:
     for k in range(len(parent) - 1, 0, -1):
         if label[k] == 1 and parent[k] >= 0 and label[parent[k]] < 0:
             label[parent[k]] = 1
-    return Boosted.fit(features(a), (np.array(label) == 1).astype(np.float64))
+    return a, (np.array(label) == 1).astype(np.float64)
+
+
+def train(pages: list[str], token_pages: list[str]) -> Model:
+    """Tokens are counted on pages of their own: on those that the trees learn from they would look surer than they are."""
+    a, y = _learnt(token_pages)
+    scores = TokenScores.fit(a["attributes"], y)
+    a, y = _learnt(pages)
+    return Model(scores, Boosted.fit(features(a, scores), y))
+
+
+@lru_cache(1)
+def trained_model(pages: int = TRAIN_PAGES) -> Model:
+    return train(labelled_pages(pages), labelled_pages(TOKEN_PAGES, seed=3))
 
 
-def decode(a: dict[str, np.ndarray], z: np.ndarray) -> np.ndarray:
+def decode(a: dict, z: np.ndarray) -> np.ndarray:
     """Which nodes to keep: the likeliest labelling in which no node is kept under a dropped one. z: log-odds."""
     n = len(z)
     keep_gain = np.minimum(0, z) - np.log1p(np.exp(-np.abs(z)))
@@ -354,12 +434,12 @@ def decode(a: dict[str, np.ndarray], z: np.ndarray) -> np.ndarray:
     return kept
 
 
-def extract_texts(pages: list[str], model: Boosted) -> list[str]:
+def extract_texts(pages: list[str], model: Model) -> list[str]:
     forest = Forest()
     for page in pages:
         forest.add_page(page)
     a = forest.arrays()
-    z = model.logits(features(a))
+    z = model.logits(a)
     kept = decode(a, z)
     # pages that would have no text at all are decoded again, with the benefit of the doubt
     bare = np.bincount(a["page"], a["text"] * kept, len(pages)) == 0
