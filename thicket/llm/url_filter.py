@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a logistic regression on hashed character n-grams.
 
 The model is trained on the driver from a small labelled URL table (a parameter; the default is `LABELLED`
-below, about 1,300 urls made by rule from two word lists and some syllables) and becomes an array literal of `BUCKETS` weights.
+below, some thousand urls made by rule from two word lists, modifiers that both have, and made-up names) and becomes an array literal of `BUCKETS` weights.
 Scoring is one narrow projection of built-in functions: no shuffle, no Python on the executors.
 
 An n-gram's bucket is its CRC-32 modulo `BUCKETS`. N-grams come from the host between ^ and $ marks and from the path;
@@ -30,23 +30,42 @@ PRIOR = -1.0
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Words from which the default labelled table is made: what unwanted sites call themselves, and ordinary ones.
-UNWANTED = "casino casino-win win-casino poker bets free-bets bet-now betting slots jackpot lottery adult adult-x xxx sex porn escort cam-girls spam spam-farm link-farm cheap-pills pills viagra pharmacy-deal ads ads-track ad-server tracker click-ads popunder warez torrent crack-keys keygen replica-watch payday-loan quick-cash free-money".split()
-ORDINARY = "news journal library university school museum garden kitchen recipes history science weather travel music cinema forum wiki archive docs city council hospital theatre football chess mountain river harbour bakery studio workshop research institute gallery press radio daily thread thing tionist other another rather their thanks that action nation station edition motion option".split()
-_SYLLABLES = "th er tion an in on re en ha le ver ing st ou ti ble sch ch eau que al or es mi".split()
+# Words from which the default labelled table is made: what unwanted sites call themselves, ordinary words, and what either is combined with.
+UNWANTED = "casino poker bet bets betting bookie slots jackpot lottery roulette gambling adult xxx sex porn erotic escort camgirls spam linkfarm pills viagra pharma steroids ads adserver adclick tracker clickbait popunder banners warez torrent crack keygen serials replica payday loans quickcash bitcoins forex".split()
+ORDINARY = (
+    "news journal library university school museum garden kitchen recipes history science weather travel music cinema forum wiki archive docs city council hospital theatre football chess "
+    "mountain river harbour bakery studio workshop research institute gallery press radio daily thread thing station nation action edition option motion nature ocean planet family health "
+    "village bridge castle forest island letter number people picture question reason record season sister brother student subject summer winter system teacher theory thunder together "
+    "tradition translation transport understanding village vision voice water window winter writing yellow adventure address advice advance admiral spanish space special pilot pillar "
+    "sextant essex bethany better between alphabet diabetes cashmere loaned crackle popular porcelain slotted trackside clicker banner trading shipping strength length month north south "
+    "earth mother father other another rather their thanks that these those three through thought brothers shore fish british english fashion relation position condition tension mission"
+).split()
+MODIFIERS = "online best top club zone world shop house net hub live plus star gold king mega super pro city land direct group base one".split()
 _SITES = ("com", "org", "net", "test")
 _PATHS = ("/", "/en/{}", "/de/{}.html", "/fr/{}", "/es/{}/", "/en/{}/", "/de/{}", "/{}.html")
 
 
-def make_labelled() -> tuple[tuple[str, int], ...]:
-    """(url, 1 if unwanted) by rule: every word under several hosts and paths, which so tell nothing about the label."""
-    names = ["".join(_SYLLABLES[(k * m) % len(_SYLLABLES)] for m in (1, 5, 11)[: 2 + k % 2]) for k in range(1, 160)]
+def made_up(k: int) -> str:
+    """A name without meaning, of two to five syllables."""
+    syllables = [c + v + e for c in "b d f g k l m n p r s t v w h th sh st tr".split() for v in "aeiou" for e in ("", "n", "r", "l", "s", "th")]
+    return "".join(syllables[zlib.crc32(b"%d %d" % (k, i)) % len(syllables)] for i in range(2 + k % 4))
+
+
+def hosts(words: Sequence[str], k: int) -> list[str]:
+    """Names of sites about the k-th word: alone, and with modifiers or made-up names before or after."""
+    word, mods = words[k], [MODIFIERS[(k * 5 + i * 7) % len(MODIFIERS)] for i in range(4)]
+    short = [made_up(4 * (zlib.crc32(word.encode()) + i))[: 3 + i % 3] for i in range(4)]
+    return [word, f"{word}-{mods[0]}", f"{mods[1]}-{word}", f"{word}{mods[2]}", f"{mods[3]}{word}", f"{word}-{short[0]}", f"{short[1]}-{word}", f"{word}{short[2]}", f"{short[3]}{word}"]
+
+
+def make_labelled(unwanted: Sequence[str] = UNWANTED, ordinary: Sequence[str] = ORDINARY, names: range = range(900)) -> tuple[tuple[str, int], ...]:
+    """(url, 1 if unwanted) by rule: every name under several hosts and paths, which so tell nothing about the label."""
     rows, k = [], 0
-    for y, words in ((1, UNWANTED), (0, ORDINARY + names)):
-        for word in words:
-            for prefix in ("", "www.", "blog.", "m.") * (2 if y else 1):
-                k += 1
-                rows.append((f"https://{prefix}{word}.example.{_SITES[k * 7 % 4]}{_PATHS[k * 5 % 8].format(k * 7919 % 50000)}", y))
+    sites = [(1, h) for i in range(len(unwanted)) for h in hosts(unwanted, i)] + [(0, h) for i in range(len(ordinary)) for h in hosts(ordinary, i)] + [(0, made_up(i)) for i in names]
+    for y, name in sites:
+        for prefix in ("", "www.", "blog.", "m.") if y else ("", "www.", "blog.", "m.")[zlib.crc32(name.encode()) % 4 :][:1]:
+            k += 1
+            rows.append((f"https://{prefix}{name}.example.{_SITES[k * 7 % 4]}{_PATHS[k * 5 % 8].format(k * 7919 % 50000)}", y))
     return tuple(rows)
 
 
