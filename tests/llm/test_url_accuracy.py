@@ -8,7 +8,7 @@ import pandas as pd
 
 from thicket.llm import url_filter as U
 
-UNSEEN = "win free cheap now farm track x deal fun city first".split()
+UNSEEN = "win free cheap now farm track x deal fun garage first".split()
 
 
 def blocked(model, url: str) -> bool:
