@@ -6,15 +6,16 @@ divided by that, so one threshold serves all items). What is retrieved is verifi
 of words (question) and second half (answer) must each share `OVERLAP` of their word 5-shingles with the passage.
 
 Passages are twice as long as the block's longest item and begin every one such length, so each place an item can occupy lies
-whole in one passage. Items are indexed in blocks of at most `BLOCK_ITEMS`, sorted by length: a block's index is of
-bounded size and is what one pass over the documents broadcasts; a larger benchmark takes more passes, nothing is left out.
+whole in one passage. Items are indexed in blocks of about `BLOCK_ITEMS` items or `BLOCK_CHARS` characters: a block's index is of bounded size and is broadcast.
+The documents are read once: a task takes `CHUNK` bytes of them at a time through all blocks, one index after the other in its memory. Nothing is left out.
 
 Block maxima are summed on whole arrays, for many passages at once: items in order of length form posting blocks of `POSTING_BLOCK`,
 and a block in which the sum of a passage's block maxima stays below the threshold is skipped for that passage. What
-is left goes through WAND's pivoting.
+is left goes through WAND's pivoting, which looks at the postings of those blocks only.
 
-Defined cases: null or empty texts have no passages and no hits; an item without words hits nothing; an item of fewer than 5 words in a half
-is compared by that half's whole sequence. Repeated rows give repeated results; repeated items each their own. Empty tables give an empty result.
+Defined cases: null or empty texts have no passages and no hits; an item of one word has no question and hits nothing, like one without words; an item of fewer
+than 5 words in a half is compared by that half's whole sequence. Ids may be of any type. Repeated rows give repeated results; repeated items each their own.
+Extra columns with any names are left out of what is found and stay where rows are kept. Empty tables give an empty result.
 Words are lower-cased runs of letters and digits, so punctuation and case don't hide a leak.
 """
 
@@ -31,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .common import fields, pack, quoted, stash, table, unpack
 
@@ -38,6 +41,9 @@ RETRIEVE = 0.7
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 8 << 20
+#: Bytes of text that go through all blocks before the next are read, where there are several blocks.
+CHUNK = 16 << 20
 POSTING_BLOCK = 4
 K1, B = 1.2, 0.75
 WORDS = re.compile(r"[^\W_]+")
@@ -65,12 +71,14 @@ class Index:
     at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     block_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     block_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: By posting block: word -> its postings there.
+    cells: list[dict[int, list[tuple[int, float]]]] = field(default_factory=list)
 
     @classmethod
     def build(cls, items: list[tuple[object, str]], idf: dict[str, float], mean_length: float) -> Index:
         self = cls()
         split = [(i, WORDS.findall(t.lower())) for i, t in items]
-        for item_id, words in sorted((x for x in split if x[1]), key=lambda x: len(x[1])):
+        for item_id, words in sorted((x for x in split if len(x[1]) > 1), key=lambda x: len(x[1])):
             k = len(self.ids)
             self.ids.append(item_id)
             self.halves.append((shingles(words[: len(words) // 2]), shingles(words[len(words) // 2 :])))
@@ -84,9 +92,11 @@ class Index:
                     self.postings.append([])
                 self.postings[n].append((k, g / own))
         maxima = [{} for _ in self.postings]
+        self.cells = [{} for _ in range(-(-len(self.ids) // POSTING_BLOCK))]
         for n, posting in enumerate(self.postings):
             for k, g in posting:
                 maxima[n][k // POSTING_BLOCK] = max(g, maxima[n].get(k // POSTING_BLOCK, 0.0))
+                self.cells[k // POSTING_BLOCK].setdefault(n, []).append((k, g))
         self.at = np.r_[0, np.cumsum([len(m) for m in maxima], dtype=np.int64)].astype(np.int64)
         self.block_of = np.array([k for m in maxima for k in m], np.int64)
         self.block_max = np.array([g for m in maxima for g in m.values()], np.float64)
@@ -115,34 +125,32 @@ def blocks_within_reach(index: Index, passage: np.ndarray, word: np.ndarray, thr
 
 
 def wand(index: Index, words: set[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
-    """All (item, score) of the given posting blocks with a score of the threshold or more, by WAND's pivoting."""
-    among, found = set(blocks), []
-    cursors = []
-    for w in words:
-        posting = [x for x in index.postings[w] if x[0] // POSTING_BLOCK in among]
-        if posting:
-            cursors.append([posting, 0, max(g for _, g in posting)])
-    while cursors:
-        cursors.sort(key=lambda c: c[0][c[1]][0])
-        total, pivot = 0.0, None
-        for n, c in enumerate(cursors):
-            total += c[2]
-            if total >= threshold - 1e-9:
-                pivot = n
+    """All (item, score) of the given posting blocks with a score of the threshold or more, by WAND's pivoting with each block's own maxima."""
+    found = []
+    for block in blocks:
+        cell = index.cells[block]
+        cursors = [[cell[w], 0, max(g for _, g in cell[w])] for w in (words if len(words) < len(cell) else cell) if w in cell and w in words]
+        while cursors:
+            cursors.sort(key=lambda c: c[0][c[1]][0])
+            total, pivot = 0.0, None
+            for n, c in enumerate(cursors):
+                total += c[2]
+                if total >= threshold - 1e-9:
+                    pivot = n
+                    break
+            if pivot is None:
                 break
-        if pivot is None:
-            break
-        item = cursors[pivot][0][cursors[pivot][1]][0]
-        target = item
-        if cursors[0][0][cursors[0][1]][0] == item:
-            score = sum(c[0][c[1]][1] for c in cursors if c[0][c[1]][0] == item)
-            if score >= threshold - 1e-9:
-                found.append((item, score))
-            target = item + 1
-        for c in cursors:
-            while c[1] < len(c[0]) and c[0][c[1]][0] < target:
-                c[1] += 1
-        cursors = [c for c in cursors if c[1] < len(c[0])]
+            item = cursors[pivot][0][cursors[pivot][1]][0]
+            target = item
+            if cursors[0][0][cursors[0][1]][0] == item:
+                score = sum(c[0][c[1]][1] for c in cursors if c[0][c[1]][0] == item)
+                if score >= threshold - 1e-9:
+                    found.append((item, score))
+                target = item + 1
+            for c in cursors:
+                while c[1] < len(c[0]) and c[0][c[1]][0] < target:
+                    c[1] += 1
+            cursors = [c for c in cursors if c[1] < len(c[0])]
     return found
 
 
@@ -181,10 +189,10 @@ def matches(index: Index, texts: list[list[str]]) -> Iterator[tuple[int, int, tu
         a = (p - int(first[text])) * half
         words = texts[text][a : a + 2 * half]
         got = wand(index, {index.words[w] for w in words if w in index.words}, blocks, RETRIEVE)
-        sizes = {len(next(iter(h))) for k, _ in got for h in index.halves[k] if h}
+        sizes = {len(next(iter(h))) for k, _ in got for h in index.halves[k]}
         grams = {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
         for k, score in got:
-            question, answer = (sum(g in grams for g in h) / len(h) if h else 1.0 for h in index.halves[k])
+            question, answer = (sum(g in grams for g in h) / len(h) for h in index.halves[k])
             seen = best.get((text, k))
             if min(question, answer) >= OVERLAP and (seen is None or (question + answer, score) > (seen[1] + seen[2], seen[0])):
                 best[text, k] = (score, question, answer)
@@ -207,49 +215,69 @@ def _jobs(texts: pa.Array, overlap: int) -> Iterator[tuple[list[int], list[list[
         yield rows, runs
 
 
-def _searcher(shared):
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _searcher(shared: list, item_type: pa.DataType):
+    """shared: the blocks' indexes, broadcast. With several, a worker holds one at a time."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            best: dict[tuple, tuple] = {}  # a very long text has several runs
-            for numbers, runs in _jobs(batch.column("text"), 2 * index.longest):
-                for n, k, m in matches(index, runs):
-                    best[numbers[n], k] = max(best.get((numbers[n], k), m), m, key=lambda x: (x[1] + x[2], x[0]))
-            rows = [(n, index.ids[k], *m) for (n, k), m in sorted(best.items())]
-            picked = pa.array([r[0] for r in rows], pa.int64())
-            kept = batch.drop_columns(["text"]).take(picked)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))], [*kept.schema.names, "item_id", "score", "question_overlap", "answer_overlap"])
+        for chunk in _chunks(batches, CHUNK if len(shared) > 1 else 1):
+            for block in shared:
+                index = block.value
+                for batch in chunk:
+                    yield look(index, batch)
+                if len(shared) > 1:
+                    del block._value, index  # else every worker would come to hold all blocks; the next chunk reads it again
+
+    def look(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        best: dict[tuple, tuple] = {}  # a very long text has several runs
+        for numbers, runs in _jobs(batch.column("text"), 2 * index.longest):
+            for n, k, m in matches(index, runs):
+                best[numbers[n], k] = max(best.get((numbers[n], k), m), m, key=lambda x: (x[1] + x[2], x[0]))
+        rows = [(n, index.ids[k], *m) for (n, k), m in sorted(best.items())]
+        kept = batch.drop_columns(["text"]).take(pa.array([r[0] for r in rows], pa.int64()))
+        figures = [pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[1] for r in rows], item_type), *figures], [*kept.schema.names, "item_id", "score", "question_overlap", "answer_overlap"])
 
     return search
 
 
+def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
+    """The index of each block of the benchmark (item_id, text). The driver holds one block at a time."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = items.select("item_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), F.lit(1)).alias("w"))
+    n, chars, mean_length = words.agg(F.count("*"), F.sum(F.length("text")), F.avg(F.when(F.size("w") > 0, F.size("w")))).first()
+    blocks = max(1, -(-n // block_items), -(-(chars or 0) // BLOCK_CHARS))
+    ordered = stash(words.withColumn("_block", F.pmod(F.xxhash64(F.col("item_id"), "text"), F.lit(blocks)).cast("int")).repartition(blocks, "_block"))
+    # collection statistics cover all items; a block needs those of its own words
+    frequency = stash(ordered.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    for k in range(blocks):
+        part = ordered.where(F.col("_block") == k)
+        block = sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda x: (x[0] is None, x))
+        own = part.select(F.explode("w").alias("word")).distinct()
+        idf = {r.word: math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)) for r in frequency.join(own, "word", "left_semi").collect()}
+        yield Index.build(block, defaultdict(lambda: math.log(1 + (n - 0.5) / 1.5), idf), mean_length or 1.0)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, text_hash, item_id, score, question_overlap, answer_overlap
     for every pair that is verified."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
+    shared = [spark.sparkContext.broadcast(index) for index in indexes(benchmark, block_items)]
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = fields(rows, "doc_id", more="text_hash long, item_id long, score double, question_overlap double, answer_overlap double")
-
-    # collection statistics cover all items; the vocabulary of the benchmark is what a block's index is made with
-    words = items.select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), F.lit(1)).alias("w"))
-    mean_length = words.agg(F.avg(F.when(F.size("w") > 0, F.size("w")))).first()[0] or 1.0
-    frequency = words.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-
-    ordered = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))) if blocks > 1 else items.withColumn("_block", F.lit(0))
-    found = None
-    for k in range(blocks):
-        part = ordered.where(F.col("_block") == k)
-        block = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # about block_items rows
-        own = part.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), F.lit(1)))).alias("word")).distinct()
-        idf = {r.word: math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)) for r in frequency.join(own, "word", "left_semi").collect()}
-        known = defaultdict(lambda: math.log(1 + (n - 0.5) / 1.5), idf)
-        shared = spark.sparkContext.broadcast(Index.build(block, known, mean_length))
-        hits = rows.mapInArrow(_searcher(shared), schema)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    item = benchmark.schema["item_id"].dataType
+    schema = StructType([*fields(rows, "doc_id", "text_hash"), StructField("item_id", item), *fields(rows, more="score double, question_overlap double, answer_overlap double")])
+    return rows.mapInArrow(_searcher(shared, to_arrow_type(item)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -267,7 +295,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH iw AS (SELECT item_id, words, len(words) // 2 AS h FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) > 0),
+WITH iw AS (SELECT item_id, words, len(words) // 2 AS h FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) > 1),
 halves AS (SELECT item_id, 'q' AS half, words[1 : h] AS ws FROM iw UNION ALL SELECT item_id, 'a', words[h + 1 :] FROM iw),
 ig AS (SELECT DISTINCT item_id, half, least(5, len(ws)) AS size, array_to_string(ws[p : p + least(5, len(ws)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS p FROM halves WHERE len(ws) > 0)),
 need AS (SELECT item_id, half, count(*) AS n FROM ig GROUP BY item_id, half),
@@ -277,6 +305,6 @@ dg AS (SELECT doc_id, p - 1 AS pos, size, array_to_string(words[p : p + size - 1
 hit AS (SELECT doc_id, pos, size, item_id, half, gram FROM dg JOIN ig USING (gram, size)),
 placed AS (SELECT DISTINCT doc_id, item_id, half, gram, passage FROM (SELECT *, unnest([pos // half_passage - 1, pos // half_passage]) AS passage, half_passage FROM hit, l) WHERE passage >= 0 AND pos + size <= (passage + 2) * half_passage),
 found AS (SELECT doc_id, item_id, passage, count(*) FILTER (half = 'q') AS q, count(*) FILTER (half = 'a') AS a FROM placed GROUP BY doc_id, item_id, passage),
-scored AS (SELECT doc_id, found.item_id, coalesce(q / nq.n, 1.0) AS question_overlap, coalesce(a / na.n, 1.0) AS answer_overlap FROM found LEFT JOIN need nq ON nq.item_id = found.item_id AND nq.half = 'q' LEFT JOIN need na ON na.item_id = found.item_id AND na.half = 'a')
+scored AS (SELECT doc_id, found.item_id, q / nq.n AS question_overlap, a / na.n AS answer_overlap FROM found JOIN need nq ON nq.item_id = found.item_id AND nq.half = 'q' JOIN need na ON na.item_id = found.item_id AND na.half = 'a')
 SELECT doc_id, item_id, arg_max(question_overlap, question_overlap + answer_overlap) AS question_overlap, arg_max(answer_overlap, question_overlap + answer_overlap) AS answer_overlap FROM scored WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8 GROUP BY doc_id, item_id
 """
