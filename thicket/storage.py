@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables made in each scope that is open, from the outermost in.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where none is set, a temporary one, which only a local master can share; on a cluster that is an error."""
@@ -19,8 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: what follows doesn't depend on executors that are lost, nor on inputs that change."""
+def stash(df: DataFrame, outer: bool = False) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again: what follows doesn't depend on executors that are lost, nor on inputs that change.
+    It's deleted at the end of the scope that is open, or of the one around that."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _scopes.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed inside are deleted at the end: nothing that is returned may still read them."""
+    tables: list[str] = []
+    token = _scopes.set((*_scopes.get(), tables))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in tables:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
