@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..storage import shared_folder, stash
+from ..storage import scratch, shared_folder, stash
 
-__all__ = ["EXTRA", "WORD", "Bitmap", "bitmap_of", "cut", "fields", "hashed_sample", "held", "look_up", "pack", "partitions", "quoted", "shared_folder", "stash", "table", "unit_interval", "unpack"]
+__all__ = ["EXTRA", "WORD", "Bitmap", "bitmap_of", "cut", "fields", "hashed_sample", "held", "look_up", "pack", "partitions", "quoted", "scratch", "shared_folder", "stash", "table", "unit_interval", "unpack", "without"]
 
 #: Word separators of the fingerprint and mixing contracts, as a regular expression class body.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,7 +123,15 @@ def held(rows: DataFrame, shared, key: str, inside: bool = True) -> DataFrame:
 
 
 def look_up(rows: DataFrame, wanted: DataFrame, shared, how: str = "inner") -> DataFrame:
-    """rows (doc_id, key, ...) joined with wanted (unique doc_id, key, ...); rows that the Bitmap of wanted's keys rules out are left out before the shuffle."""
-    w = wanted.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    """rows (doc_id, key, ...) joined with wanted (unique doc_id, key, ...); rows that the Bitmap of wanted's keys rules out are left out before the shuffle.
+    The join is the same at every size."""
+    w = wanted.withColumnsRenamed({"doc_id": "_id", "key": "_key"}).hint("merge")
     maybe = held(rows, shared, "key")
-    return maybe.join(w, maybe["doc_id"].eqNullSafe(F.col("_id")) & (maybe["key"] == F.col("_key")), how).drop("_id", "_key")
+    found = maybe.join(w, maybe["doc_id"].eqNullSafe(F.col("_id")) & (maybe["key"] == F.col("_key")), how)
+    return found if how == "left_anti" else found.drop("_id", "_key")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (doc_id, key, ...) less those of gone (doc_id, key; a table that is cheap to read). Only rows that its Bitmap may hold are shuffled."""
+    shared = bitmap_of(gone, "key")
+    return held(rows, shared, "key", inside=False).unionByName(look_up(rows, gone, shared, "left_anti"))

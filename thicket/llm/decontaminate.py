@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import fields, pack, quoted, stash, table, unpack
+from .common import fields, pack, quoted, scratch, stash, table, unpack, without
 
 RETRIEVE = 0.7
 OVERLAP = 0.8
@@ -273,7 +273,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, text_hash, item_id, score, question_overlap, answer_overlap
     for every pair that is verified."""
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(index) for index in indexes(benchmark, block_items)]
+    with scratch(spark):
+        shared = [spark.sparkContext.broadcast(index) for index in indexes(benchmark, block_items)]
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     item = benchmark.schema["item_id"].dataType
     schema = StructType([*fields(rows, "doc_id", "text_hash"), StructField("item_id", item), *fields(rows, more="score double, question_overlap double, answer_overlap double")])
@@ -282,10 +283,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a test item; all columns."""
-    leaks = stash(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    packed = pack(docs, "doc_id", "text")
-    same = packed["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return unpack(packed.join(leaks, same, "left_anti"), "doc_id", "text").select(*map(quoted, docs.columns))
+    leaks = stash(find_leaks(docs, benchmark).select("doc_id", F.col("text_hash").alias("key")).distinct())
+    packed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return unpack(without(packed, leaks), "doc_id", "text").select(*map(quoted, docs.columns))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,26 @@ comparison is tried again larger: the digests are dealt into as many parts as th
 still fails is tried with more cells and other positions, at last by exact set difference.
 Likeness is the share of common digests among all: |A and B| / |A or B|, 1 if both have none.
 
-`next_text` pairs every document with the one after it in descending doc_id without bringing all to one task: documents are dealt into ranges of doc_id
-by sampled quantiles (at most `MAX_RANGES`, known to the driver), and the first document of each range is a guest at the end of the range before it.
+`next_text` pairs every document with the one after it in descending doc_id without bringing all to one task: documents are dealt into ranges of (doc_id,
+text's hash, a number of the row) by sampled quantiles, of about `RANGE_BYTES` of text each, and the first document of each range is a guest at the end of the
+range before it. So documents that share one doc_id, or even all of their text, are dealt out like any others. The driver knows the ranges' bounds, some numbers a range.
 
 Defined cases: null text is empty: no paragraphs. Ties of doc_id are ordered by the text's hash; a null doc_id comes last. A lone document is its own next.
+Ids of other types than whole numbers are numbered in their order first. Extra columns are carried along unless named like a result.
 Repeated rows are documents of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import pack, partitions, table, unpack
+from .common import pack, partitions, stash, table, unit_interval, unpack
 
 PIECE_WORDS = 12
 PIECES = rf"\S+(?:[ \t]+\S+){{0,{PIECE_WORDS - 1}}}"
@@ -32,7 +37,9 @@ SMALL = 8
 LARGER = (8, 32, 128)
 PART = 8
 ROUNDS = 12
-MAX_RANGES = 2000
+#: Text of a range, and sampled rows for each.
+RANGE_BYTES = 32 << 20
+SAMPLED = 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -144,33 +151,50 @@ def as_text(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(digits(c["n"], 4), digits(c["k"], 16), digits(c["h"], 8))), ""))
 
 
+def _numbered(docs: DataFrame, order_by: str) -> tuple[DataFrame, Column]:
+    """docs, and a long by which they are in the order of a column of any type; a null comes first."""
+    least = F.lit(-(1 << 63))
+    if isinstance(docs.schema[order_by].dataType, IntegralType):
+        return docs, F.coalesce(F.col(order_by).cast("long"), least)
+    ids = docs.select(F.col(order_by).alias("__value")).where("__value IS NOT NULL").distinct()
+    ids = stash(ids.repartitionByRange("__value").sortWithinPartitions("__value").withColumn("__number", F.monotonically_increasing_id()))
+    return docs.join(ids, F.col(order_by) == F.col("__value"), "left").drop("__value"), F.coalesce("__number", least)
+
+
 def next_text(docs: DataFrame, order_by: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with next_text: the text of the document after each in descending order_by, of the first one after the last."""
-    spark = docs.sparkSession
-    least = -(1 << 63)
-    id_ = F.coalesce(F.col(order_by).cast("long"), F.lit(least))
-    wanted = min(MAX_RANGES, 8 * partitions(spark))
-    fractions = [k / wanted for k in range(1, wanted)]
-    edges = docs.agg(F.percentile_approx(id_, fractions, 10 * wanted)).first()[0] if fractions else []
-    edges = sorted(set(edges or ()))
-    longs = lambda xs: F.expr("cast(array(" + ",".join(f"{x}L" if x > least else "-9223372036854775807L - 1L" for x in xs) + ") as array<bigint>)")
-    edge_list = longs(edges)
-
-    # how many edges lie below the id, by binary search
+    spark, columns = docs.sparkSession, docs.columns
+    docs, number = _numbered(docs, order_by)
+    # descending in all three: the hash's complement rises as the hash falls
+    order = ["__id", "__hash", "__row"]
+    keyed = docs.withColumns({"__id": number, "__hash": F.bitwise_not(F.xxhash64(text)), "__row": F.xxhash64(F.monotonically_increasing_id())})
+    rows, size = keyed.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    wanted = max(1, min(rows, max(8 * partitions(spark), -(-(size or 0) // RANGE_BYTES))))
+    sample = keyed.select(*order).where(unit_interval(F.lit(11), *order) < SAMPLED * wanted / max(1, rows)).orderBy(*order).collect()  # about SAMPLED rows a range
+    edges = sorted({tuple(sample[k * len(sample) // wanted]) for k in range(1, wanted)}) if sample else []
+    longs = lambda xs: F.expr("cast(array(" + ",".join(f"{x}L" if x > -(1 << 63) else "-9223372036854775807L - 1L" for x in xs) + ") as array<bigint>)")
+    bounds = [longs([e[k] for e in edges]) for k in range(3)]
+
+    def lies_below(k: Column) -> Column:
+        """Whether edge k lies below the row."""
+        (a, x), (b, y), (c, z) = ((F.get(bounds[i], k), F.col(order[i])) for i in range(3))
+        return (a < x) | (a == x) & ((b < y) | (b == y) & (c < z))
+
+    # how many edges lie below the row, by binary search
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(edges)).bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step <= len(edges)) & (F.get(edge_list, acc + step - 1) < id_), acc + step).otherwise(acc))
-    placed = docs.withColumns({"__id": id_, "__range": below})
-    heads = {r["__range"]: r["head"] for r in placed.groupBy("__range").agg(F.max("__id").alias("head")).collect()}  # one row a range
+    below = F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step <= len(edges)) & lies_below(acc + step - 1), acc + step).otherwise(acc))
+    placed = keyed.withColumn("__range", below)
+    heads = {r["__range"]: r["head"] for r in placed.groupBy("__range").agg(F.max(F.struct(*order)).alias("head")).collect()}  # one row a range
     filled = sorted(heads)
     above = {k: filled[(i + 1) % len(filled)] for i, k in enumerate(filled)}
-    n = len(edges) + 1
-    is_head = F.col("__id") == F.get(longs([heads.get(k, 0) for k in range(n)]), F.col("__range"))
-    target = F.get(longs([above.get(k, 0) for k in range(n)]), F.col("__range")).cast("int")
+    ranges = range(len(edges) + 1)
+    is_head = reduce(and_, (F.col(c) == F.get(longs([heads[k][i] if k in heads else 0 for k in ranges]), F.col("__range")) for i, c in enumerate(order)))
+    target = F.get(longs([above.get(k, 0) for k in ranges]), F.col("__range")).cast("int")
     at = lambda r, guest: F.struct(r.alias("r"), F.lit(guest).alias("guest"))
     dealt = placed.withColumn("__at", F.explode(F.when(is_head, F.array(at(F.col("__range"), False), at(target, True))).otherwise(F.array(at(F.col("__range"), False)))))
-    dealt = dealt.withColumns({"__range": F.col("__at.r"), "__guest": F.col("__at.guest"), "__hash": F.xxhash64(text)}).drop("__at")
-    order = Window.partitionBy("__range").orderBy("__guest", F.desc("__id"), "__hash")
-    return dealt.withColumn("next_text", F.lead(text).over(order)).where(~F.col("__guest")).drop("__id", "__range", "__guest", "__hash")
+    dealt = dealt.withColumns({"__range": F.col("__at.r"), "__guest": F.col("__at.guest")})
+    following = F.lead(text).over(Window.partitionBy("__range").orderBy("__guest", *map(F.desc, order)))
+    return dealt.withColumn("next_text", following).where(~F.col("__guest")).select(*columns, "next_text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fields, hashed_sample, pack, quoted, stash, table, unpack
+from .common import fields, hashed_sample, pack, quoted, scratch, stash, table, unpack, without
 
 SAMPLE = 8000
 THRESHOLD = 0.7
@@ -180,10 +180,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject; all columns."""
-    rejected = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    packed = pack(docs, "doc_id", "text")
-    same = packed["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return unpack(packed.join(stash(rejected), same, "left_anti"), "doc_id", "text").select(*map(quoted, docs.columns))
+    with scratch(docs.sparkSession):
+        rejected = stash(score_quality(docs, labels).where("predicted = 0").select("doc_id", F.col("text_hash").alias("key")).distinct(), outer=True)
+    packed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return unpack(without(packed, rejected), "doc_id", "text").select(*map(quoted, docs.columns))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, fields, held, look_up, pack, quoted, stash, table, unpack
+from .common import bitmap_of, cut, fields, held, look_up, pack, quoted, scratch, stash, table, unpack
 from .graph import connected_components
 from .shingles import similar_documents
 
@@ -135,14 +135,15 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float |
     Components of the fingerprints' links, or with a similarity those of documents whose sets of `width`-word shingles are so similar (Jaccard)."""
     if similarity is None and width != SHINGLE_WORDS:
         raise ValueError("fingerprints are of three words; give a similarity with another width")
-    found = stash(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
     # only rows of components of two or more have a fate; all others stay where they are
-    own = F.when(F.col("component_id").isNull(), F.col("fp"))
-    groups = found.groupBy("component_id", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    groups = groups.withColumnsRenamed({"component_id": "c", "own": "o"})
-    met = found.join(groups, F.col("component_id").eqNullSafe(F.col("c")) & own.eqNullSafe(F.col("o")))
-    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    fates = stash(met.groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.max(stays).alias("stays")))
+    with scratch(docs.sparkSession):
+        found = stash(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
+        own = F.when(F.col("component_id").isNull(), F.col("fp"))
+        groups = found.groupBy("component_id", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+        groups = groups.withColumnsRenamed({"component_id": "c", "own": "o"})
+        met = found.join(groups, F.col("component_id").eqNullSafe(F.col("c")) & own.eqNullSafe(F.col("o")))
+        stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+        fates = stash(met.groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.max(stays).alias("stays")), outer=True)
     shared = bitmap_of(fates, "key")
     packed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     chosen = look_up(packed, fates, shared, "left")

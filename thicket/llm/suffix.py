@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, fields, held, look_up, pack, partitions, stash, table, unpack
+from .common import bitmap_of, fields, held, look_up, pack, partitions, scratch, stash, table, unpack
 from .words import Words
 
 TOKENS = 4
@@ -379,14 +379,14 @@ def _interval(span: int) -> list:
 def _members(units: DataFrame, classes: DataFrame, span: int) -> DataFrame:
     """The symbols (doc_id, key, a, b) of the units of the classes."""
     those = classes.select(F.col("gram").alias("g"), F.col("same").alias("s"))
-    return units.join(those, (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s"))).select(_interval(span))
+    return units.join(those.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("same") == F.col("s"))).select(_interval(span))
 
 
 def _settle(units: DataFrame, busy: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """units: doc_id, key, start, n, gram, same, any more; busy: their _busy(), as a table of its own, so that a gram with very many units can be split
     between tasks when the two are joined. Returns the symbols of units that another one equals (doc_id, key, a, b), and the units in
     doubt: one of each class of equal units that shares its gram with another class."""
-    met = stash(units.join(busy, F.col("gram") == F.col("g")).drop("g"))
+    met = stash(units.join(busy.hint("merge"), F.col("gram") == F.col("g")).drop("g"))
     mixed = met.where("split")
     own = [c for c in units.columns if c not in ("gram", "same", "inner")]
     classes = stash(mixed.groupBy("gram", "same").agg(F.count("*").alias("units"), F.min(F.struct(*own)).alias("first")))
@@ -417,7 +417,7 @@ def covered(docs: DataFrame, scheme: Scheme = BYTES) -> DataFrame:
 
     total = doubt.agg(F.sum("n")).first()[0] or 0
     lists = doubt.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
-    chosen = texts.drop("runs").join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "blocks")
+    chosen = texts.drop("runs").join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "blocks")
     suffixes = chosen.mapInArrow(_suffix_maker(scheme), keyed("at long, " + ", ".join(f"t{j} long" for j in range(TOKENS // 2))))
     single = repeated_suffixes(suffixes, total).select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + span).alias("b"))
     return whole.unionByName(parts).unionByName(single)
@@ -473,13 +473,20 @@ def _cutter(with_text: bool):
     return remove
 
 
+def _covered_once(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """covered(), as a table; what it was made from is deleted."""
+    with scratch(docs.sparkSession):
+        return stash(covered(docs, scheme), outer=True)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = True, schemes: Sequence[Scheme] = (BYTES,)) -> DataFrame:
     """docs: doc_id, text, any more. What any of the schemes finds repeated goes; all are judged on the input. Returns doc_id, n_bytes, n_removed (bytes), n_spans,
     kept_sha256, with_text: the text that is left, and the others."""
     packed = pack(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
     slim = packed.select("doc_id", "key", "text")
-    found = [covered(slim.where(F.octet_length("text") >= s.least_bytes), s).withColumn("words", F.lit(s.words)) for s in schemes]
-    cuts = stash(reduce(DataFrame.unionByName, found).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b", "words")).alias("cuts")))
+    with scratch(docs.sparkSession):
+        found = [_covered_once(slim.where(F.octet_length("text") >= s.least_bytes), s).withColumn("words", F.lit(s.words)) for s in schemes]
+        cuts = stash(reduce(DataFrame.unionByName, found).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b", "words")).alias("cuts")), outer=True)
     shared = bitmap_of(cuts, "key")
     others = [c for c in packed.columns if c != "text"]
     made = fields(packed, *others, more="n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
