@@ -38,15 +38,29 @@ def test_ids_of_other_types(spark):
 
 
 def test_hot_ids_are_dealt_out(spark, monkeypatch):
-    """No range has much more than its share, though all rows have one id and text."""
+    """All rows have one id and text, and yet the ranges are of about one size."""
     monkeypatch.setattr(paragraph_sketch, "RANGE_BYTES", 1000)
     df = spark.createDataFrame([(1, "aaaa")] * 20_000, "doc_id long, text string").repartition(4)
-    plan = paragraph_sketch.next_text(df)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
-    try:
-        sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert sum(sizes) == 20_000 and max(sizes) < 3000
+    window = paragraph_sketch.Window.partitionBy
+    seen = []
+    monkeypatch.setattr(paragraph_sketch.Window, "partitionBy", staticmethod(lambda *by: seen.append(by) or window(*by)))
+    dealt = paragraph_sketch.next_text(df)
+    assert seen == [("__range",)] and dealt.count() == 20_000
+    plan = dealt._jdf.queryExecution().optimizedPlan()
+    while "Window" not in plan.nodeName():
+        plan = plan.children().head()
+    ranges = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().head())
+    sizes = [r.getLong(1) for r in ranges.groupBy("__range", spark._sc._gateway.new_array(spark._jvm.java.lang.String, 0)).count().collectAsList()]
+    assert len(sizes) > 40 and max(sizes) < 3000
+
+
+def test_conversations_with_ids_of_text(spark):
+    from thicket.llm import chat
+
+    rows = [(f"c{k % 7}", k, "user" if k % 2 else "assistant", f"turn {k} <|x|>") for k in range(60)] + [(None, 0, "user", None), ("", 1, None, "é")]
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.summarize_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))).collect()}
+    want = {}
+    for c, _, role, text in rows:
+        n, loss = want.get(c, (0, 0))
+        want[c] = (n + 1, loss + (len(text or "") if role == "assistant" else 0))
+    assert got == want

@@ -10,7 +10,7 @@ the formatter nor the reader holds more than one Arrow batch: a conversation of
 Hashing a whole conversation is serial by nature, hence one task reads any one conversation.
 
 Defined cases: null text or role: empty. Rows of one conversation are ordered by turn (null first), role, text; repeated rows are repeated
-turns. A null conv_id is a conversation of its own. An empty table gives an empty result. Other columns aren't carried.
+turns. A null conv_id is a conversation of its own; ids may be of any type. An empty table gives an empty result. Other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fields, table
 
 OPEN, CLOSE = b"<|im_start|>", b"<|im_end|>\n"
-BLOCK_SCHEMA = "conv_id long, n_turns long, formatted binary, loss_starts array<long>, loss_ends array<long>"
+BLOCK = "n_turns long, formatted binary, loss_starts array<long>, loss_ends array<long>"
 #: Bytes of text in one assembly job.
 CHUNK = 8 << 20
 
@@ -86,9 +86,9 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in _pieces(batch) if batch.num_rows else ():
             conv = piece.column("conv_id")
-            ids, valid = pc.fill_null(conv, 0).to_numpy(zero_copy_only=False), pc.is_valid(conv).to_numpy(zero_copy_only=False)
+            ids = pc.dictionary_encode(conv, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             buffer, turn_at, a, b = assemble(piece.column("role"), piece.column("text"))
-            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])])
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             bounds = np.r_[first, len(ids)]
             mine = pc.equal(piece.column("role"), "assistant").to_numpy(zero_copy_only=False)
             count = np.add.reduceat(mine.astype(np.int64), first)
@@ -101,15 +101,15 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, turn, role, text. Returns BLOCK_SCHEMA: each conversation's formatted bytes in one block or more,
+    """turns: conv_id, turn, role, text. Returns conv_id and BLOCK: each conversation's formatted bytes in one block or more,
     adjacent and in order within a partition, with the byte spans that count for the loss (the assistants' texts)."""
-    clean = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format, BLOCK_SCHEMA)
+    return ordered.select("conv_id", "role", "text").mapInArrow(_format, fields(clean, "conv_id", more=BLOCK))
 
 
 TURN = re.compile(re.escape(OPEN) + rb"(.*?)\n(.*?)" + re.escape(CLOSE), re.S)
-SUMMARY_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+SUMMARY = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def _code_points(data: bytes) -> int:
@@ -117,7 +117,7 @@ def _code_points(data: bytes) -> int:
 
 
 class _Reader:
-    def __init__(self, conv_id: int | None):
+    def __init__(self, conv_id: object):
         self.conv_id, self.n, self.chars, self.loss = conv_id, 0, 0, 0
         self.turns, self.lost = hashlib.sha256(), hashlib.sha256()
 
@@ -142,11 +142,11 @@ class _Reader:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SUMMARY_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", *(x.split()[0] for x in SUMMARY.split(", "))]
+    types: list[pa.DataType] = []
     reader: _Reader | None = None
     for batch in batches:
-        done = []
+        done, types = [], [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for row in batch.select(["conv_id", "formatted", "loss_starts", "loss_ends"]).to_pylist():
             if reader is None or reader.conv_id != row["conv_id"]:
                 done += [reader.row()] if reader else []
@@ -159,8 +159,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def summarize_chats(blocks: DataFrame) -> DataFrame:
-    """What the formatted blocks say, read back from their bytes: SUMMARY_SCHEMA, one row a conversation."""
-    return blocks.mapInArrow(_read, SUMMARY_SCHEMA)
+    """What the formatted blocks say, read back from their bytes: conv_id and SUMMARY, one row a conversation."""
+    return blocks.mapInArrow(_read, fields(blocks, "conv_id", more=SUMMARY))
 
 
 PLANTED = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
