@@ -103,11 +103,14 @@ def apply_edits(code: Column, edits: Column) -> Column:
 
 
 def edit_diffs(code: Column, edits: Column) -> Column:
-    """Array of (start, end, original, replacement) in source order; null if the edits are faulty."""
+    """Array of (start, end, original, replacement) in the order of the edits; null if the edits are faulty."""
     raw = F.encode(code, "UTF-8")
     original = lambda e: F.decode(F.substring(raw, (e["start"] + 1).cast("int"), (e["end"] - e["start"]).cast("int")), "UTF-8")
     diffs = F.transform(resolve_edits(code, edits), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), original(e).alias("original"), e["replacement"].alias("replacement")))
-    return F.when(edit_error(code, edits).isNull(), diffs)
+    # resolved edits are in source order; the k-th of them is the edit of this number
+    numbered = F.array_sort(F.transform(edits, lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"), e["absorb"].alias("absorb"), i.alias("i"))))
+    given = F.array_sort(F.zip_with(numbered, diffs, lambda e, d: F.struct(e["i"].alias("i"), d.alias("d"))))
+    return F.when(edit_error(code, edits).isNull(), F.transform(given, lambda p: p["d"]))
 
 
 def apply_diffs(code: Column, diffs: Column) -> Column:

@@ -408,21 +408,6 @@ def find_symbol(spark: SparkSession, d: str) -> DataFrame:
     return G.find_symbols(A.analyze(G.latest_files(nation_modules(spark, d)), parts=["symbols", "export_signatures"])).select("path", "name", "kind")
 
 
-@query("SELECT text_md5, CAST(n AS BIGINT) AS n, first_id FROM (SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY md5(text))")
-def content_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Files of equal content, found by hash: what incremental ingest skips."""
-    docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5"))
-    return docs.groupBy("text_md5").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
-@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM conversations) WHERE k = 1")
-def latest_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The keyed upsert's rule: the latest version of a path wins."""
-    rows = t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", F.col("text").alias("code"))
-    latest = rows.groupBy("path").agg(F.max_by(F.struct("turn", "code"), F.struct("turn", "code")).alias("l"))
-    return latest.select(F.col("path").cast("long").alias("conv_id"), "l.turn", F.col("l.code").alias("text"))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'var x = ' || o_orderkey || ';' || chr(10) || '/* Issues:' || chr(10) || ' * - Avoid using ''var''. Use ''const'' or ''let'' instead.' || chr(10) || ' */' ELSE 'let x = ' || o_orderkey || ';' END AS annotated FROM orders""")
 def annotate_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -457,3 +442,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from . import queries_more  # noqa: E402, F401 - adds its own queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ def write_in_place(rewrites: DataFrame, dry_run: bool = False) -> None:
             with open(temporary, "w", encoding="utf-8", newline="") as f:
                 f.write(row.updated)
             os.replace(temporary, row.path)
+            folder, name = os.path.split(row.path)
+            with suppress(FileNotFoundError):  # a checksum of the old content, if Hadoop wrote the file
+                os.remove(os.path.join(folder, f".{name}.crc"))
 
     rewrites.where((F.col("modifications") > 0) & (F.col("updated") != F.col("code"))).select("path", "updated").foreachPartition(write)
 
