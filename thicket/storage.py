@@ -25,15 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stash(df: DataFrame, outer: bool = False) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash(df: DataFrame, outer: bool = False, batch: int | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: what follows doesn't depend on executors that are lost, nor on inputs that change.
-    It's deleted at the end of the scope that is open, or of the one around that."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    It's deleted at the end of the scope that is open, or of the one around that. batch: rows that Python workers get at once while it is made, where rows are large."""
+    spark = df.sparkSession
+    path, usual = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, min(batch, int(usual)) if int(usual) > 0 else batch)
+        df.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(_BATCH, usual)
     scopes = _scopes.get()
     if len(scopes) > outer:
         scopes[-1 - outer].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
