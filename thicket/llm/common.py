@@ -112,14 +112,17 @@ def bitmap_of(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(Bitmap(words, bits))
 
 
-def held(rows: DataFrame, shared, key: str, inside: bool = True) -> DataFrame:
-    """The rows whose key a broadcast Bitmap may hold, or those whose key it doesn't hold. Narrow."""
+def held(rows: DataFrame, shared, key: str, inside: bool = True, then=None, schema: StructType | None = None) -> DataFrame:
+    """The rows whose key a broadcast Bitmap may hold, or those whose key it doesn't hold. Narrow. then: what to make of them in the same Python worker (a function
+    for mapInArrow, which returns schema): a second one beside it would cost its memory."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.holds(batch.column(key).to_numpy()) == inside))
 
-    return rows.mapInArrow(keep, rows.schema)
+    if then is None:
+        return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(lambda batches: then(keep(batches)), schema)
 
 
 def look_up(rows: DataFrame, wanted: DataFrame, shared, how: str = "inner") -> DataFrame:

@@ -47,7 +47,7 @@ PIECE_RUNS = 8
 #: Symbols hashed at once.
 SEGMENT = 1 << 19
 #: Suffixes that one task sorts.
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -490,8 +490,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, schemes: Sequence[Sc
     shared = bitmap_of(cuts, "key")
     others = [c for c in packed.columns if c != "text"]
     made = fields(packed, *others, more="n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
-    cut_rows, rest = look_up(packed, cuts, shared, "left"), held(packed, shared, "key", inside=False)
-    out = cut_rows.mapInArrow(_cutter(with_text), made).unionByName(rest.mapInArrow(_cutter(with_text), made))
+    rest = held(packed, shared, "key", inside=False, then=_cutter(with_text), schema=made)
+    out = look_up(packed, cuts, shared, "left").mapInArrow(_cutter(with_text), made).unionByName(rest)
     return unpack(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text)
 
 
