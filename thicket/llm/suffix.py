@@ -45,7 +45,7 @@ from .words import Words
 TOKENS = 4
 PIECE_RUNS = 8
 #: Symbols hashed at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 #: Suffixes that one task sorts.
 BUCKET_ROWS = 1 << 18
 

@@ -9,8 +9,8 @@ import xxhash
 
 SEED = 42
 #: Words whose hashes a Python worker remembers, and bytes of text that are split at once.
-VOCABULARY = 1 << 16
-PIECE = 1 << 20
+VOCABULARY = 1 << 15
+PIECE = 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
