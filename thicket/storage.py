@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,3 +59,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in tables:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        # Spark drops the shuffle files, broadcasts and compiled classes of plans that are done when the driver's collector finds them
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
