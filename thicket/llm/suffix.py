@@ -46,6 +46,8 @@ TOKENS = 4
 PIECE_RUNS = 8
 #: Symbols hashed at once.
 SEGMENT = 1 << 18
+#: Rows with texts that a Python worker gets at once.
+ROWS = 2048
 #: Suffixes that one task sorts.
 BUCKET_ROWS = 1 << 18
 
@@ -401,18 +403,18 @@ def covered(docs: DataFrame, scheme: Scheme = BYTES) -> DataFrame:
     units_type = keyed("start long, n int, gram long, same long, inner boolean")
     grams = docs.mapInArrow(_run_finder(scheme, _grams), keyed("gram long")).groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1")
     # a few grams that are alone pass the bitmap, too; they are found out later
-    busy = bitmap_of(stash(grams.select("gram")), "gram")
-    pieces = stash(docs.mapInArrow(_run_finder(scheme, _pieces, busy), keyed("start long, n int, gram long, same long, id long")))
+    busy = bitmap_of(stash(grams.select("gram"), batch=ROWS), "gram")
+    pieces = stash(docs.mapInArrow(_run_finder(scheme, _pieces, busy), keyed("start long, n int, gram long, same long, id long")), batch=ROWS)
     classes = stash(pieces.groupBy("gram", "same").agg(F.count("*").alias("pieces"), F.min("id").alias("id")))
     copied = _members(pieces, classes.where("pieces > 1"), span)
 
-    units = stash(docs.mapInArrow(_run_finder(scheme, _runs, busy, bitmap_of(classes, "id")), units_type))
+    units = stash(docs.mapInArrow(_run_finder(scheme, _runs, busy, bitmap_of(classes, "id")), units_type), batch=ROWS)
     whole, doubt = _settle(units, stash(_busy(units)), span)
     whole = copied.unionByName(whole)
 
     runs = stash(doubt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
     texts = stash(look_up(docs, runs, bitmap_of(runs, "key")).select("doc_id", "key", "text", "runs"))
-    blocks = stash(texts.mapInArrow(_block_maker(scheme), units_type))
+    blocks = stash(texts.mapInArrow(_block_maker(scheme), units_type), batch=ROWS)
     parts, doubt = _settle(blocks, stash(_busy(blocks)), span)
 
     total = doubt.agg(F.sum("n")).first()[0] or 0
