@@ -146,7 +146,9 @@ class PageMaker:
             text = "".join(self.block() for _ in range(self.r.randint(1, 6)))
             return f"<html><head><title>{self.words(2, 6)}</title></head>{self.r.choice([text, self.tag('body', text)])}</html>"
         parts = [self.content()]
-        if self.r.random() < 0.3:
+        if self.r.random() < 0.06:  # no article
+            parts = [self.nav()]
+        elif self.r.random() < 0.3:
             parts = [self.tag(self.r.choice(["main", "div"]), parts[0] + (self.comments() if self.r.random() < 0.3 else "") + (self.aside() if self.r.random() < 0.3 else ""), self.r.choice(["", ' class="wrapper"', ' id="container"', ' class="row"']))]
         for make, chance in ((self.header, 0.5), (self.nav, 0.7), (self.ad, 0.5), (self.notice, 0.3), (self.form, 0.2)):
             if self.r.random() < chance:
