@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    SimHash fingerprints of these shingles give candidates, verified on whole texts; an exact search follows for the links that 64 bits lose."""
     return deduplicate(docs, SHINGLE_WORDS, SIMILARITY)
 
 

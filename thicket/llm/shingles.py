@@ -15,12 +15,14 @@ Exact in all steps, up to equality of 64-bit hashes; nothing is sampled away:
    again, by prefixes of their differences, of which most are their own. `ROUNDS` times, as long as leaders find links enough; at last the rest is paired. A leader's text is dealt out in parts
    of `HEAD` members each.
 
+Pairs that a caller's own index of the sets' SimHash finds (`candidates`) are verified beside these, a pair once.
+
 Defined cases: null text counts as empty; documents without words are one class; a text of fewer words than a shingle is one shingle. A-Z only are lower-cased.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, fields, look_up, partitions, scratch, stash
 from .graph import connected_components
-from .words import Words
+from .words import Words, bit_counts, majority
 
 LIST_LIMIT = 64
 ROUNDS = 4
@@ -92,23 +94,24 @@ def _all(width: int):
 
 
 def _prefixes(width: int, similarity: float, table):
-    """doc_id, text_hash, text -> doc_id, text_hash, fp (hash of the set), n, prefix, frequent (how many of the prefix, at its end, the table knows to be in long lists)."""
+    """doc_id, text_hash, text -> doc_id, text_hash, fp (hash of the set), bits (its SimHash), n, prefix, frequent (how many of the prefix, at its end, the table knows to be in long lists)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in _few(batches):
-            ids, sizes, prefixes, frequent = [], [], [], []
+            ids, bits, sizes, prefixes, frequent = [], [], [], [], []
             for text in _texts(batch):
                 grams = shingles(text, width, words)
                 n = len(grams)
                 ids.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                bits.append(majority(bit_counts(grams), n))
                 sizes.append(n)
                 levels = table.value[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]
                 first = np.argsort(levels, kind="stable")[: n - int(np.ceil(similarity * n - EPSILON)) + 1 if n else 0]
                 prefixes.append(grams[first])
                 frequent.append(int((levels[first] >= LONG_LEVEL).sum()))
-            made = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(prefixes), pa.array(frequent, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "fp", "n", "prefix", "frequent"])
+            made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, bits)), pa.array(sizes, pa.int32()), _lists(prefixes), pa.array(frequent, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "fp", "bits", "n", "prefix", "frequent"])
 
     return make
 
@@ -315,9 +318,9 @@ def _long_lists(lists: DataFrame, texts: DataFrame, width: int, similarity: floa
     return edges, pairs
 
 
-def shingle_links(rows: DataFrame, classes: DataFrame, width: int, similarity: float, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """rows: doc_id, text_hash, text. classes: fp, doc_id and text_hash (of one row that has the set), n, prefix, frequent. Edges (u, v) that
-    connect exactly what the links between similar sets connect."""
+def shingle_links(rows: DataFrame, classes: DataFrame, width: int, similarity: float, list_limit: int = LIST_LIMIT, candidates: Callable | None = None) -> DataFrame:
+    """rows: doc_id, text_hash, text. classes: fp, doc_id and text_hash (of one row that has the set), bits, n, prefix, frequent. Edges (u, v) that
+    connect exactly what the links between similar sets connect. candidates: from fp, bits to pairs (u, v), u > v, to verify as well."""
     rare = F.size("prefix") - F.col("frequent")
     postings = classes.select("fp", "n", F.posexplode(F.slice("prefix", F.lit(1), rare)).alias("at", "gram"))
     dealt = postings.select("gram", "fp", "n", "at").repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram")
@@ -334,6 +337,8 @@ def shingle_links(rows: DataFrame, classes: DataFrame, width: int, similarity: f
     beyond = F.least(F.least("left_u", "left_v"), F.ceil(similarity * F.col("larger") - EPSILON)) - 1
     most = F.col("c") + F.least(F.coalesce("hidden_u", F.lit(0)), F.coalesce("hidden_v", F.lit(0))) + beyond
     pairs = stash(tally.where(most >= similarity / (1 + similarity) * F.col("total") - EPSILON).select("u", "v"))
+    if candidates:
+        pairs = stash(candidates(classes.select("fp", "bits"), list_limit).unionByName(pairs).distinct())
 
     members = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(long.select("fp")).distinct()
     wanted = stash(classes.select("fp", "doc_id", F.col("text_hash").alias("key")).join(members, "fp", "left_semi"))
@@ -349,16 +354,16 @@ def shingle_links(rows: DataFrame, classes: DataFrame, width: int, similarity: f
     return stash(links.distinct(), batch=ROWS)
 
 
-def similar_documents(docs: DataFrame, width: int, similarity: float, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, text_hash, fp (of the set), component_id, a row for each row, like simhash.near_duplicates."""
+def similar_documents(docs: DataFrame, width: int, similarity: float, list_limit: int = LIST_LIMIT, candidates: Callable | None = None) -> DataFrame:
+    """docs: doc_id, text; candidates: see shingle_links. Returns doc_id, text_hash, fp (of the set), component_id, a row for each row, like simhash.near_duplicates."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(frequency_table(rows, width))
-    kind = fields(rows, "doc_id", more="text_hash long, fp long, n int, prefix array<long>, frequent int")
+    kind = fields(rows, "doc_id", more="text_hash long, fp long, bits long, n int, prefix array<long>, frequent int")
     found = stash(rows.mapInArrow(_prefixes(width, similarity, table), kind).withColumn("row", F.monotonically_increasing_id()))
     classes = stash(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
     one = found.join(classes.select("row"), "row", "left_semi")
     with scratch(docs.sparkSession):
-        components = connected_components(shingle_links(rows, one, width, similarity, list_limit)).withColumnRenamed("u", "fp")
+        components = connected_components(shingle_links(rows, one, width, similarity, list_limit, candidates)).withColumnRenamed("u", "fp")
     labelled = classes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return found.select("doc_id", "text_hash", "fp").join(labelled.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")

@@ -12,6 +12,8 @@ A posting list longer than `LIST_LIMIT` isn't paired: its members go through hub
 64 one-bit changes; two fingerprints have a hub in common exactly if they differ in 2 bits or fewer, and a hub has 65 members at most.
 Links then go through distributed connected components; neither links nor fingerprints reach the driver.
 
+`deduplicate` with a similarity takes wider fingerprints' links from `byte_links`, verifies them on whole texts and has shingles.py search exactly for what fingerprints lose.
+
 Defined cases: null text counts as empty; without words the fingerprint is zero and links like any other. A-Z only are lower-cased.
 Repeated rows each get a result row. A null doc_id is no candidate for component_id unless its component has no other. An empty table gives an empty result.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,16 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, cut, fields, held, look_up, pack, quoted, scratch, stash, table, unpack
 from .graph import connected_components
 from .shingles import similar_documents
+from .words import bit_counts, majority
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
 SHARED_BYTES = 8 - MAX_BITS
 LIST_LIMIT = 64
+#: Bits in which fingerprints of texts that are to be compared may differ, and the positional bytes that key their index: of any four positions three are a key.
+NEAR_BITS = 4
+TRIPLES = [t for t in combinations(range(8), 3) if tuple(sum(k // 3 == g for k in t) for g in range(3)) in {(3, 0, 0), (0, 3, 0), (2, 1, 0), (0, 2, 1), (1, 0, 2)}]
 #: Texts are worked on in pieces of about so many bytes.
 PIECE = 1 << 21
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -65,13 +72,11 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.r_[0, ends[:-1] + 1]
         hashes = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], np.uint64)
-        for a in range(0, len(hashes), 1 << 15):
-            bits = np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += np.add.reduce(bits, axis=0, dtype=np.int64)
+        counts += bit_counts(hashes)
         n += len(hashes)
     if not n:
         return hashed(b" ".join(held), SEED) if held else 0
-    return sum(1 << int(k) for k in np.flatnonzero(2 * counts > n))
+    return majority(counts, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +124,21 @@ def fingerprint_links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> Data
     return pairs.unionByName(stars).distinct()
 
 
+def byte_links(classes: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """classes: fp (all different), bits (a fingerprint). Candidates (u, v), u > v: classes whose fingerprints differ in `NEAR_BITS` = 4 bits or fewer, so that
+    four of the eight positional bytes are equal or more. Any four positions hold one of the `TRIPLES`, which are the posting keys. All pairs of a list of up to
+    list_limit classes are tallied; of a longer one those with its least class: whoever asks must search on for the rest."""
+    byte = lambda k: F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(0xFF))
+    keys = F.array(*[F.lit(n << 24) + byte(i) * F.lit(1 << 16) + byte(j) * F.lit(1 << 8) + byte(k) for n, (i, j, k) in enumerate(TRIPLES)])
+    postings = classes.select("fp", "bits", F.explode(keys).alias("key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1").withColumnRenamed("key", "k")
+    busy = stash(postings.join(lists, F.col("key") == F.col("k")).drop("k"))
+    a = busy.where((F.col("n") <= list_limit) | (F.col("fp") == F.col("leader"))).select(F.col("key").alias("k"), F.col("fp").alias("v"), F.col("bits").alias("w"))
+    met = busy.join(a, (F.col("key") == F.col("k")) & (F.col("fp") > F.col("v")))
+    tallied = met.where((shared_bytes(F.col("bits"), F.col("w")) >= 8 - NEAR_BITS) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("w"))) <= NEAR_BITS))
+    return tallied.select(F.col("fp").alias("u"), "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, text_hash, fp, component_id, a row for each row."""
     prints = cut(fingerprints(docs))
@@ -132,12 +152,13 @@ def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """All columns of docs, for one row of each component: its least doc_id (of rows with that id, the one with the least text hash).
-    Components of the fingerprints' links, or with a similarity those of documents whose sets of `width`-word shingles are so similar (Jaccard)."""
+    Components of the fingerprints' links, or with a similarity those of documents whose sets of `width`-word shingles are so similar (Jaccard): fingerprints of
+    these sets meet in the index of bytes and are verified on whole texts, and an exact search follows for what they lose."""
     if similarity is None and width != SHINGLE_WORDS:
         raise ValueError("fingerprints are of three words; give a similarity with another width")
     # only rows of components of two or more have a fate; all others stay where they are
     with scratch(docs.sparkSession):
-        found = stash(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity))
+        found = stash(near_duplicates(docs) if similarity is None else similar_documents(docs, width, similarity, candidates=byte_links))
         own = F.when(F.col("component_id").isNull(), F.col("fp"))
         groups = found.groupBy("component_id", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
         groups = groups.withColumnsRenamed({"component_id": "c", "own": "o"})
