@@ -36,3 +36,21 @@ def test_passages_of_over_50_words_go(spark):
     assert {i: t.split() for i, t in got.items()} == want and got[len(docs) - 1] == " \n"
     assert len(want[0]) == len(docs[0][1].split()) and all(len(want[k]) < len(docs[k][1].split()) for k in range(2, 11))
     assert max(len(t.encode()) for _, t in docs[2:6]) < 700 and suffix.remove_repeats(spark.createDataFrame(docs[2:6], "doc_id long, text string")).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_few_texts_at_once(spark):
+    """Cut texts are sent on for few rows at a time; a bitmap's filter gives Python the keys without the texts."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from thicket.llm import common, suffix
+
+    texts = [f"text {k}" for k in range(1300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1300)), "text": texts})
+    made = list(suffix._cutter(True)(iter([batch])))
+    assert max(b.num_rows for b in made) <= suffix.CUT_ROWS and [t for b in made for t in b.column("text").to_pylist()] == texts
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    shared = common.bitmap_of(rows.where("doc_id < 5").select("key"), "key")
+    inside, outside = common.held(rows, shared, "key"), common.held(rows, shared, "key", inside=False)
+    assert "MapInArrow" not in inside._jdf.queryExecution().executedPlan().toString()
+    assert set(range(5)) <= {r.doc_id for r in inside.collect()} and sorted(r.doc_id for r in inside.unionByName(outside).collect()) == list(range(1300))

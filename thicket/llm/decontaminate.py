@@ -42,6 +42,8 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 8 << 20
+#: Documents that a Python worker gets at once in `decontaminate`.
+ROWS = 2048
 #: Bytes of text that go through all blocks before the next are read, where there are several blocks.
 CHUNK = 16 << 20
 POSTING_BLOCK = 4
@@ -283,7 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a test item; all columns."""
-    leaks = stash(find_leaks(docs, benchmark).select("doc_id", F.col("text_hash").alias("key")).distinct())
+    leaks = stash(find_leaks(docs, benchmark).select("doc_id", F.col("text_hash").alias("key")).distinct(), batch=ROWS)
     packed = pack(docs, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     return unpack(without(packed, leaks), "doc_id", "text").select(*map(quoted, docs.columns))
 

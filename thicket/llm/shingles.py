@@ -43,6 +43,8 @@ SAMPLE = 16
 LONG_LEVEL = 10
 #: Rows whose sets a Python worker holds at once.
 ROWS = 256
+#: Rows with texts that it gets at once.
+TEXTS = 2048
 #: Pairs that one copy of a leader's text is for.
 HEAD = 1024
 EPSILON = 1e-9
@@ -359,7 +361,7 @@ def similar_documents(docs: DataFrame, width: int, similarity: float, list_limit
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(frequency_table(rows, width))
     kind = fields(rows, "doc_id", more="text_hash long, fp long, bits long, n int, prefix array<long>, frequent int")
-    found = stash(rows.mapInArrow(_prefixes(width, similarity, table), kind).withColumn("row", F.monotonically_increasing_id()))
+    found = stash(rows.mapInArrow(_prefixes(width, similarity, table), kind).withColumn("row", F.monotonically_increasing_id()), batch=TEXTS)
     classes = stash(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
     one = found.join(classes.select("row"), "row", "left_semi")
     with scratch(docs.sparkSession):
